@@ -1,9 +1,10 @@
 """Order-dependent steps that stay distributed when one subject owns most rows.
 
-A window over a whole subject puts that subject in one task. Here subjects are
-cut into time slices: the window runs inside a slice, and a much smaller table
-with one row per (subject, slice) carries what crosses slice borders. A subject
-that fits in one slice costs one extra narrow row, nothing else.
+A window over a subject puts that subject in one task. (ID, TIME) is a key, so
+while TIME stays below ``SLICE_WIDTH`` no subject has more rows than that and a
+plain window is safe; one scalar, the largest TIME, tells. Beyond it, subjects
+are cut into time slices: the window runs inside a slice, and a much smaller
+table with one row per (subject, slice) carries what crosses slice borders.
 """
 
 from __future__ import annotations
@@ -15,20 +16,37 @@ from pyspark.sql import functions as F
 
 from statepath.config import SLICE_WIDTH
 
+# Rows of one key that a single sorted window may take.
+WINDOW_ROWS = 1_000_000
+
 
 def time_slice(width: int = SLICE_WIDTH) -> Column:
     return F.floor(F.col("TIME") / F.lit(width)).cast("int")
 
 
-def number_rows(df: DataFrame, key: str, slice_by: str, order_by: Sequence[str]) -> DataFrame:
+def needs_slices(steps: DataFrame, width: int = SLICE_WIDTH) -> bool:
+    latest = steps.agg(F.max("TIME")).first()[0]
+    return latest is not None and latest >= width
+
+
+def number_rows(
+    df: DataFrame,
+    key: str,
+    slice_by: str,
+    order_by: Sequence[str],
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
     """Add ``position``: the 0-based rank of a row within ``key``.
 
-    ``slice_by`` must be monotone in ``order_by``.
+    ``slice_by`` must be monotone in ``order_by``; it cuts the work if some key
+    has more than ``window_rows`` rows.
     """
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= window_rows:
+        whole = Window.partitionBy(key).orderBy(*order_by)
+        return df.withColumn("position", F.row_number().over(whole) - 1)
     earlier = (
-        Window.partitionBy(key)
-        .orderBy(slice_by)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         df.groupBy(key, slice_by)
@@ -45,15 +63,20 @@ def number_rows(df: DataFrame, key: str, slice_by: str, order_by: Sequence[str])
     )
 
 
-def join_subject(steps: DataFrame, subjects: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
-    """Left join a table keyed by ID to steps, without gathering a subject.
+def join_subject(
+    steps: DataFrame, subjects: DataFrame, sliced: bool | None = None, width: int = SLICE_WIDTH
+) -> DataFrame:
+    """Left join a table keyed by ID to steps, without gathering a long subject.
 
-    The subject row is first repeated once per time slice the subject really
-    has, then joined on (ID, slice): only long subjects are spread.
+    With slices, the subject row is first repeated once per time slice the
+    subject really has, then joined on (ID, slice).
     """
-    sliced = steps.withColumn("_slice", time_slice(width))
-    pairs = sliced.select("ID", "_slice").distinct().join(subjects, "ID", "left")
-    return sliced.join(pairs, ["ID", "_slice"], "left").drop("_slice")
+    sliced = needs_slices(steps, width) if sliced is None else sliced
+    if not sliced:
+        return steps.join(subjects, "ID", "left")
+    cut = steps.withColumn("_slice", time_slice(width))
+    pairs = cut.select("ID", "_slice").distinct().join(subjects, "ID", "left")
+    return cut.join(pairs, ["ID", "_slice"], "left").drop("_slice")
 
 
 def lead_values(
@@ -61,6 +84,7 @@ def lead_values(
     following: dict[str, str],
     subjects: DataFrame | None = None,
     at_end: dict[str, str] | None = None,
+    sliced: bool | None = None,
     width: int = SLICE_WIDTH,
 ) -> DataFrame:
     """Add the next observed row's values, falling back to a subject's own value.
@@ -69,30 +93,47 @@ def lead_values(
     TIME (gaps are skipped). ``at_end`` maps new column -> column of ``subjects``
     (one row per ID) used where the next value is null or there is no next row.
     """
+    sliced = needs_slices(steps, width) if sliced is None else sliced
     at_end = at_end or {}
-    sliced = steps.withColumn("_slice", time_slice(width))
     sources = sorted(set(following.values()))
-
-    heads = sliced.groupBy("ID", "_slice").agg(
-        F.min_by(F.struct(*sources), F.col("TIME")).alias("_head")
-    )
-    by_slice = Window.partitionBy("ID").orderBy("_slice")
-    heads = heads.withColumn("_after", F.lead("_head").over(by_slice)).drop("_head")
+    ends = None
     if subjects is not None and at_end:
-        ends = subjects.select(
-            "ID", *[F.col(c).alias(f"_end_{new}") for new, c in at_end.items()]
-        )
-        heads = heads.join(ends, "ID", "left")
-
-    inside = Window.partitionBy("ID", "_slice").orderBy("TIME")
-    ahead = sliced.withColumn("_next", F.lead(F.struct(*sources)).over(inside))
-    joined = ahead.join(heads, ["ID", "_slice"], "left")
-    nearest = F.coalesce(F.col("_next"), F.col("_after"))
+        ends = subjects.select("ID", *[F.col(c).alias(f"_end_{n}") for n, c in at_end.items()])
+
+    if sliced:
+        joined = _lead_by_slice(steps, sources, ends, width)
+    else:
+        whole = Window.partitionBy("ID").orderBy("TIME")
+        joined = steps.withColumns({f"_next_{c}": F.lead(c).over(whole) for c in sources})
+        joined = joined if ends is None else joined.join(ends, "ID", "left")
     values = []
     for new, source in following.items():
-        value = nearest.getField(source)
-        if subjects is not None and new in at_end:
+        value = F.col(f"_next_{source}")
+        if ends is not None and new in at_end:
             value = F.coalesce(value, F.col(f"_end_{new}"))
         values.append(value.alias(new))
     kept = [F.col(c) for c in steps.columns if c not in following]
     return joined.select(*kept, *values)
+
+
+def _lead_by_slice(
+    steps: DataFrame, sources: list[str], ends: DataFrame | None, width: int
+) -> DataFrame:
+    cut = steps.withColumn("_slice", time_slice(width))
+    by_slice = Window.partitionBy("ID").orderBy("_slice")
+    first = [F.min_by(c, "TIME").alias(f"_first_{c}") for c in sources]
+    heads = cut.groupBy("ID", "_slice").agg(*first)
+    heads = heads.select(
+        "ID", "_slice", *[F.lead(f"_first_{c}").over(by_slice).alias(f"_after_{c}") for c in sources]
+    )
+    heads = heads if ends is None else heads.join(ends, "ID", "left")
+
+    inside = Window.partitionBy("ID", "_slice").orderBy("TIME")
+    ahead = cut.withColumns({f"_next_{c}": F.lead(c).over(inside) for c in sources})
+    ahead = ahead.withColumn("_last", F.lead("TIME").over(inside).isNull())
+    joined = ahead.join(heads, ["ID", "_slice"], "left")
+    crossing = {
+        f"_next_{c}": F.when(F.col("_last"), F.col(f"_after_{c}")).otherwise(F.col(f"_next_{c}"))
+        for c in sources
+    }
+    return joined.withColumns(crossing)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statepath.operators.ordering import join_subject, lead_values
+from statepath.config import SLICE_WIDTH
+from statepath.operators.ordering import join_subject, lead_values, needs_slices
 
 TRANSITION_KEYS = ("CLUSTER", "ACTION", "NEXT_CLUSTER")
 
@@ -44,27 +45,42 @@ def state_offset(steps: DataFrame) -> Column:
     return max_state(steps).select(F.col("max_cluster") + 1).scalar()
 
 
-def unique_subjects(end_states: DataFrame) -> DataFrame:
-    """(ID, end_state, Reward), one row per subject; fails on a second row."""
+def step_bounds(steps: DataFrame, width: int = SLICE_WIDTH) -> tuple[int, bool]:
+    """First end-state index, and whether some subject outgrows one time slice."""
+    top, latest = steps.agg(F.max("CLUSTER"), F.max("TIME")).first()
+    return (0 if top is None else top + 1), latest is not None and latest >= width
+
+
+def _once(column: str) -> Column:
+    """The column, failing where its subject has more than one row."""
     message = F.concat(F.lit("two end states for subject "), F.col("ID"))
-    once = F.when(F.col("_rows") == 1, F.col("end_state")).otherwise(F.raise_error(message))
-    return (
-        end_states.groupBy(F.col("ID").cast("string").alias("ID"))
-        .agg(
-            F.min("end_state").alias("end_state"),
-            F.min("Reward").alias("Reward"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
-        .select("ID", once.alias("end_state"), "Reward")
+    single = F.col("_rows") == 1
+    return F.when(single, F.col(column)).otherwise(F.raise_error(message)).alias(column)
+
+
+def unique_subjects(end_states: DataFrame) -> DataFrame:
+    """(ID, Reward), one row per subject; fails on a second row."""
+    subjects = end_states.groupBy(F.col("ID").cast("string").alias("ID")).agg(
+        F.min("Reward").alias("Reward"), F.count(F.lit(1)).alias("_rows")
     )
+    return subjects.select("ID", _once("Reward"))
 
 
 def index_end_states(end_states: DataFrame, offset: int | Column) -> DataFrame:
-    """(ID, end_state, Reward, END_INDEX), one row per subject."""
+    """(ID, end_state, Reward, END_INDEX), one row per subject; fails on a second row."""
     names = end_state_dimension(end_states, offset).select("end_state", "END_INDEX")
-    return unique_subjects(end_states).join(names, "end_state", "left").select(
-        "ID", "end_state", "Reward", "END_INDEX"
+    # integers aggregate by hash; the name only costs a sort where it is asked for
+    subjects = (
+        end_states.join(names, "end_state", "left")
+        .groupBy(F.col("ID").cast("string").alias("ID"))
+        .agg(
+            F.min("end_state").alias("end_state"),
+            F.min("Reward").alias("Reward"),
+            F.min("END_INDEX").alias("END_INDEX"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
     )
+    return subjects.select("ID", _once("end_state"), _once("Reward"), _once("END_INDEX"))
 
 
 def join_end_state(steps: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -72,29 +88,45 @@ def join_end_state(steps: DataFrame, subjects: DataFrame) -> DataFrame:
     return join_subject(steps, subjects.select("ID", "END_INDEX"))
 
 
-def next_state(steps: DataFrame, end_states: DataFrame, offset: int | Column | None = None) -> DataFrame:
+def next_state(
+    steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH
+) -> DataFrame:
     """Add NEXT_CLUSTER: the next observed row's state, else the subject's end state."""
-    start = state_offset(steps) if offset is None else offset
-    subjects = index_end_states(end_states, start)
+    offset, sliced = step_bounds(steps, width)
     return lead_values(
-        steps, {"NEXT_CLUSTER": "CLUSTER"}, subjects, {"NEXT_CLUSTER": "END_INDEX"}
+        steps,
+        {"NEXT_CLUSTER": "CLUSTER"},
+        index_end_states(end_states, offset),
+        {"NEXT_CLUSTER": "END_INDEX"},
+        sliced,
+        width,
     )
 
 
-def next_risk(steps: DataFrame, end_states: DataFrame) -> DataFrame:
+def next_risk(steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     """Add NEXT_RISK: the next observed row's RISK, else the subject's Reward."""
-    subjects = unique_subjects(end_states)
-    return lead_values(steps, {"NEXT_RISK": "RISK"}, subjects, {"NEXT_RISK": "Reward"})
+    return lead_values(
+        steps,
+        {"NEXT_RISK": "RISK"},
+        unique_subjects(end_states),
+        {"NEXT_RISK": "Reward"},
+        needs_slices(steps, width),
+        width,
+    )
 
 
-def next_state_and_risk(steps: DataFrame, end_states: DataFrame) -> DataFrame:
+def next_state_and_risk(
+    steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH
+) -> DataFrame:
     """NEXT_CLUSTER and NEXT_RISK from one pass over the ordered steps."""
-    subjects = index_end_states(end_states, state_offset(steps))
+    offset, sliced = step_bounds(steps, width)
     return lead_values(
         steps,
         {"NEXT_CLUSTER": "CLUSTER", "NEXT_RISK": "RISK"},
-        subjects,
+        index_end_states(end_states, offset),
         {"NEXT_CLUSTER": "END_INDEX", "NEXT_RISK": "Reward"},
+        sliced,
+        width,
     )
 
 

@@ -78,30 +78,43 @@ def base_steps(spark: SparkSession, sf: str) -> DataFrame:
     return given_states(prepare_steps(event_steps(spark, sf), CONFIG))
 
 
+def written_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Prepared steps and end states as tables, for queries that read them repeatedly."""
+    return materialize(base_steps(spark, sf)), materialize(event_end_states(spark, sf))
+
+
 def labelled_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions.next_state(base_steps(spark, sf), event_end_states(spark, sf))
+    return transitions.next_state(*written_inputs(spark, sf))
 
 
-def model_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def model_of(steps: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P and R, written once, as every later consumer of a model reads them."""
-    steps = base_steps(spark, sf)
-    ends = event_end_states(spark, sf)
     p = transitions.transition_probabilities(transitions.next_state(steps, ends))
     return materialize(p), materialize(transitions.reward_table(steps, ends))
 
 
+def model_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return model_of(*written_inputs(spark, sf))
+
+
+def dimension_of(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    return transitions.end_state_dimension(ends, transitions.state_offset(steps))
+
+
 def end_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    offset = transitions.state_offset(base_steps(spark, sf))
-    return transitions.end_state_dimension(event_end_states(spark, sf), offset)
+    return dimension_of(base_steps(spark, sf), event_end_states(spark, sf))
 
 
 def terminal(spark: SparkSession, sf: str) -> DataFrame:
     return decision.terminal_states(end_dimension(spark, sf))
 
 
+def indexed_of(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    return transitions.index_end_states(ends, transitions.state_offset(steps))
+
+
 def indexed_ends(spark: SparkSession, sf: str) -> DataFrame:
-    offset = transitions.state_offset(base_steps(spark, sf))
-    return transitions.index_end_states(event_end_states(spark, sf), offset)
+    return indexed_of(*written_inputs(spark, sf))
 
 
 def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,10 +132,11 @@ def halved_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def solved_matrix(spark: SparkSession, sf: str):
-    p, r = model_tables(spark, sf)
-    ends = materialize(terminal(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    p, r = model_of(steps, ends)
+    absorbing = materialize(decision.terminal_states(dimension_of(steps, ends)))
     policy = solve_policy(p, r).policy
-    return p, ends, decision.policy_matrix(p, policy, ends)
+    return p, absorbing, decision.policy_matrix(p, policy, absorbing)
 
 
 def spoiled_steps(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,8 +174,9 @@ def scan_named(spark, sf):
 
 
 def stored_model(spark: SparkSession, sf: str) -> Model:
-    steps = materialize(labelled_steps(spark, sf))
-    rewards = transitions.reward_table(steps, event_end_states(spark, sf))
+    base, ends = written_inputs(spark, sf)
+    steps = materialize(transitions.next_state(base, ends))
+    rewards = transitions.reward_table(steps, ends)
     path = new_path(spark)
     write_model(Model(steps, transitions.transition_probabilities(steps), rewards), path)
     return read_model(spark, path)
@@ -245,7 +260,7 @@ def count_invalid(spark, sf):
 @query
 def labelled_only(spark, sf):
     ends = event_end_states(spark, sf).where("end_state <> 'BUILDING'")
-    steps = transitions.next_state(base_steps(spark, sf), ends)
+    steps = transitions.next_state(materialize(base_steps(spark, sf)), ends)
     return prepare.labelled_only(steps).select("ID", "TIME", "NEXT_CLUSTER")
 
 
@@ -276,17 +291,19 @@ def conditional_relabel(spark, sf):
 
 @query
 def fill_terminal(spark, sf):
-    rows = ordering.lead_values(base_steps(spark, sf), {"NEXT_RISK": "RISK"})
-    joined = evaluate.join_subject_reward(rows, event_end_states(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    rows = ordering.lead_values(steps, {"NEXT_RISK": "RISK"})
+    joined = evaluate.join_subject_reward(rows, ends)
     return prepare.fill_terminal(joined, "NEXT_RISK", "Reward").select("ID", "TIME", "NEXT_RISK")
 
 
 @query
 def name_end_states(spark, sf):
-    dimension = end_dimension(spark, sf).where("end_state <> 'FURNITURE'")
+    steps, ends = written_inputs(spark, sf)
+    dimension = dimension_of(steps, ends).where("end_state <> 'FURNITURE'")
     labels = dimension.select(F.col("END_INDEX").alias("END_STATE"), F.col("end_state").alias("label"))
-    ends = indexed_ends(spark, sf).select("ID", F.col("END_INDEX").alias("END_STATE"))
-    return prepare.name_end_states(ends, labels)
+    indexed = indexed_of(steps, ends).select("ID", F.col("END_INDEX").alias("END_STATE"))
+    return prepare.name_end_states(indexed, labels)
 
 
 # ---------------------------------------------------------------- joins
@@ -294,7 +311,8 @@ def name_end_states(spark, sf):
 
 @query
 def join_end_state(spark, sf):
-    joined = transitions.join_end_state(base_steps(spark, sf), indexed_ends(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    joined = transitions.join_end_state(steps, indexed_of(steps, ends))
     return joined.select("ID", "TIME", "CLUSTER", "END_INDEX")
 
 
@@ -310,8 +328,9 @@ def join_next_reward(spark, sf):
 
 @query
 def join_expected(spark, sf):
-    expected = transitions.expected_next_risk(*model_tables(spark, sf))
-    joined = evaluate.join_expected(base_steps(spark, sf), expected)
+    steps, ends = written_inputs(spark, sf)
+    expected = transitions.expected_next_risk(*model_of(steps, ends))
+    joined = evaluate.join_expected(steps, expected)
     return rounded(
         joined.select("ID", "TIME", "CLUSTER", "ACTION", "expected_next_risk"),
         "expected_next_risk",
@@ -320,7 +339,7 @@ def join_expected(spark, sf):
 
 @query
 def join_subject_reward(spark, sf):
-    joined = evaluate.join_subject_reward(base_steps(spark, sf), event_end_states(spark, sf))
+    joined = evaluate.join_subject_reward(*written_inputs(spark, sf))
     return joined.select("ID", "TIME", "RISK", "Reward")
 
 
@@ -331,8 +350,9 @@ def join_argmax(spark, sf):
 
 @query
 def join_truth(spark, sf):
-    predicted = evaluate.most_likely_path(base_steps(spark, sf), model_tables(spark, sf)[0])
-    return evaluate.join_truth(predicted, indexed_ends(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    predicted = evaluate.most_likely_path(steps, model_of(steps, ends)[0])
+    return evaluate.join_truth(predicted, indexed_of(steps, ends))
 
 
 @query
@@ -367,7 +387,7 @@ def transition_probabilities(spark, sf):
 @query
 def transition_probabilities_orders(spark, sf):
     steps = given_states(prepare.cast_keys(prepare.clean_steps(order_steps(spark, sf))))
-    labelled = transitions.next_state(steps, order_end_states(spark, sf))
+    labelled = transitions.next_state(materialize(steps), order_end_states(spark, sf))
     return rounded(transitions.transition_probabilities(labelled), "prob")
 
 
@@ -383,7 +403,7 @@ def end_state_rewards(spark, sf):
 
 @query
 def reward_table(spark, sf):
-    rewards = transitions.reward_table(base_steps(spark, sf), event_end_states(spark, sf))
+    rewards = transitions.reward_table(*written_inputs(spark, sf))
     return rounded(rewards, "RISK")
 
 
@@ -395,10 +415,8 @@ def expected_next_risk(spark, sf):
 
 @query
 def one_step_reward_error(spark, sf):
-    p, r = model_tables(spark, sf)
-    error = evaluate.one_step_reward_error(
-        base_steps(spark, sf), p, r, event_end_states(spark, sf)
-    )
+    steps, ends = written_inputs(spark, sf)
+    error = evaluate.one_step_reward_error(steps, *model_of(steps, ends), ends)
     return rounded(error, "mae", "mse", "r2")
 
 
@@ -455,7 +473,7 @@ def confusion_matrix(spark, sf):
 
 @query
 def dedupe_rewards(spark, sf):
-    rewards = transitions.reward_table(base_steps(spark, sf), event_end_states(spark, sf))
+    rewards = transitions.reward_table(*written_inputs(spark, sf))
     return rounded(transitions.dedupe_rewards(rewards.unionByName(rewards)), "RISK")
 
 
@@ -502,7 +520,7 @@ def next_state(spark, sf):
 
 @query
 def next_risk(spark, sf):
-    steps = transitions.next_risk(base_steps(spark, sf), event_end_states(spark, sf))
+    steps = transitions.next_risk(*written_inputs(spark, sf))
     return steps.select("ID", "TIME", "RISK", "NEXT_RISK")
 
 
@@ -691,9 +709,10 @@ def accept_split(spark, sf):
 
 @query
 def apply_split_rows(spark, sf):
-    steps = materialize(labelled_steps(spark, sf))
+    base, ends = written_inputs(spark, sf)
+    steps = materialize(transitions.next_state(base, ends))
     halves = steps.where("CLUSTER = 1").withColumn("SUB", (F.col("k") >= 50).cast("int"))
-    split = apply_split(steps, halves, 1, 3, event_end_states(spark, sf))
+    split = apply_split(steps, halves, 1, 3, ends)
     return split.select("ID", "TIME", "CLUSTER", "NEXT_CLUSTER")
 
 
@@ -784,18 +803,21 @@ def cumulative_transitions(spark, sf):
 
 @query
 def sample_transition(spark, sf):
-    intervals = decision.cumulative_transitions(model_tables(spark, sf)[0])
-    rows = base_steps(spark, sf).select("ID", "TIME", "CLUSTER", "ACTION")
+    steps, ends = written_inputs(spark, sf)
+    intervals = decision.cumulative_transitions(model_of(steps, ends)[0])
+    rows = steps.select("ID", "TIME", "CLUSTER", "ACTION")
     drawn = decision.sample_transition(rows, intervals, 42, F.col("TIME"))
     return drawn.select("ID", "TIME", "CLUSTER", "ACTION", "SAMPLED")
 
 
 def rolled(spark: SparkSession, sf: str, max_steps: int) -> DataFrame:
-    p, r = model_tables(spark, sf)
-    starts = prepare.start_states(base_steps(spark, sf))
-    ends = materialize(terminal(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    p, r = model_of(steps, ends)
+    absorbing = materialize(decision.terminal_states(dimension_of(steps, ends)))
     policy = solve_policy(p, r).policy
-    return policy_rollout(starts, p, policy, ends, max_steps=max_steps)
+    return policy_rollout(
+        prepare.start_states(steps), p, policy, absorbing, max_steps=max_steps
+    )
 
 
 @query
@@ -820,7 +842,8 @@ def most_likely_transition(spark, sf):
 
 @query
 def most_likely_path(spark, sf):
-    return evaluate.most_likely_path(base_steps(spark, sf), model_tables(spark, sf)[0])
+    steps, ends = written_inputs(spark, sf)
+    return evaluate.most_likely_path(steps, model_of(steps, ends)[0])
 
 
 @query
@@ -867,10 +890,11 @@ def absorption_report(spark, sf):
 @query
 def check_row_sums(spark, sf):
     """State 0 loses its policy action, so its row is reported."""
-    p, r = model_tables(spark, sf)
-    ends = materialize(terminal(spark, sf))
+    steps, ends = written_inputs(spark, sf)
+    p, r = model_of(steps, ends)
+    absorbing = decision.terminal_states(dimension_of(steps, ends))
     policy = solve_policy(p, r).policy.where("CLUSTER <> 0")
-    return quality.check_row_sums(decision.policy_matrix(p, policy, ends), r)
+    return quality.check_row_sums(decision.policy_matrix(p, policy, absorbing), r)
 
 
 @query
