@@ -33,4 +33,4 @@ class Config:
     # rollout
     max_steps: int = 5_000
     rollout_seed: int = 42
-    steps_per_job: int = 50
+    steps_per_job: int = 250

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from statepath.config import SLICE_WIDTH
 from statepath.operators.ordering import join_subject, number_rows, time_slice
 from statepath.operators.transitions import expected_next_risk, next_risk
-from statepath.storage import fits_broadcast, join_lookup, materialize
+from statepath.storage import fits_broadcast, join_lookup, materialize, spread
 
 # The end-to-end prediction holds the (state, action) -> state table as one map
 # value per task. Tables of more pairs than this are joined step by step.
-LOOKUP_PAIRS = 10_000
+LOOKUP_PAIRS = 1_000
 
 
 def join_expected(steps: DataFrame, expected: DataFrame, limit: int | None = None) -> DataFrame:
@@ -84,8 +84,10 @@ def subject_sequences(steps: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     entries. A subject shorter than that is one block, numbered 0.
     """
     ordered = F.array_sort(F.collect_list(F.struct("TIME", "CLUSTER", "ACTION")))
+    blocks = steps.select("ID", "TIME", "CLUSTER", "ACTION", time_slice(width).alias("BLOCK"))
     return (
-        steps.groupBy("ID", time_slice(width).alias("BLOCK"))
+        spread(blocks, "ID", "BLOCK")
+        .groupBy("ID", "BLOCK")
         .agg(ordered.alias("_rows"))
         .select(
             "ID",
@@ -113,20 +115,29 @@ def most_likely_path(
     if not fits_broadcast(likely, limit=lookup_pairs):
         return _path_by_joins(steps, likely)
 
-    entry = F.struct(F.struct("CLUSTER", "ACTION"), F.col("most_likely_next_cluster"))
+    def pair(state, action):
+        return state.cast("bigint") * F.lit(2**32) + action
+
+    key = pair(F.col("CLUSTER"), F.col("ACTION"))
+    entry = F.struct(key, F.col("most_likely_next_cluster"))
     table = likely.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     states = likely.agg(F.collect_set("CLUSTER")).scalar()
-    first = F.min("BLOCK").over(Window.partitionBy("ID"))
-    start = F.array(F.element_at("cluster_seq", 1))
+    # the first block of a subject only needs the subject's start state
+    starts = steps.groupBy("ID").agg(
+        F.min_by("CLUSTER", "TIME").alias("start"), F.min(time_slice(width)).alias("BLOCK")
+    )
     blocks = (
         subject_sequences(steps, width)
-        .withColumn("domain", F.when(F.col("BLOCK") == first, start).otherwise(states))
+        .join(starts, ["ID", "BLOCK"], "left")
+        .withColumn(
+            "domain",
+            F.when(F.col("start").isNotNull(), F.array("start")).otherwise(states),
+        )
         .withColumn("table", table)
     )
 
     def step(state, action):
-        pair = F.struct(state.alias("CLUSTER"), action.alias("ACTION"))
-        return F.coalesce(F.try_element_at(F.col("table"), pair), state)
+        return F.coalesce(F.try_element_at(F.col("table"), pair(state, action)), state)
 
     image = F.aggregate(
         "action_seq",
@@ -144,8 +155,8 @@ def most_likely_path(
         position = F.nullif(F.array_position(block["domain"], state), F.lit(0)).cast("int")
         return F.coalesce(F.try_element_at(block["image"], position), state)
 
-    start = F.element_at(F.element_at("maps", 1)["domain"], 1)
-    final = F.aggregate("maps", start, apply)
+    begin = F.element_at(F.element_at("maps", 1)["domain"], 1)
+    final = F.aggregate("maps", begin, apply)
     return maps.select("ID", final.alias("predicted_final_cluster"))
 
 

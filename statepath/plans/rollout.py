@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statepath.functions import portable_uniform
 from statepath.operators.decision import cumulative_transitions, policy_transitions
-from statepath.storage import fits_broadcast, join_lookup, materialize, new_path
+from statepath.storage import fits_broadcast, join_lookup, materialize, new_path, spread
 
 # The policy's transitions are held as one map value per task up to this many
 # rows of P; beyond it each step is a join.
@@ -128,7 +128,7 @@ def policy_rollout(
     terminal: DataFrame,
     max_steps: int = 5_000,
     seed: int = 42,
-    steps_per_job: int = 50,
+    steps_per_job: int = 250,
     lookup_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """(ID, TIME, CLUSTER, ACTION, stop_reason) until every subject has stopped.
@@ -142,7 +142,8 @@ def policy_rollout(
     intervals = cumulative_transitions(transitions)
     moves = materialize(policy_moves(intervals, policy, terminal))
     folds = fits_broadcast(moves.select(F.explode_outer("upper")), limit=lookup_rows)
-    frontier = starts.select(
+    # blocks are written with this many files, so later blocks keep the parallelism
+    frontier = spread(starts, "ID").select(
         F.col("ID").cast("string").alias("ID"),
         F.lit(0).alias("TIME"),
         F.col("CLUSTER").cast("int").alias("CLUSTER"),

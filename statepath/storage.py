@@ -54,6 +54,16 @@ def release(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by ``keys`` over all shuffle partitions, however few bytes they have.
+
+    For work that is heavy per row: without it adaptive execution would merge
+    small partitions and leave most cores idle.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def fits_broadcast(table: DataFrame, width: int = 1, limit: int = BROADCAST_VALUES) -> bool:
     """True if a (materialised) table has at most ``limit`` values."""
     return table.count() * width <= limit

@@ -122,10 +122,8 @@ def test_sweeps(golden_model, sweeps, expected):
     assert [v for _, v in values] == [*expected, 10.0, 0.0]
 
 
-@pytest.mark.parametrize("options", [{}, {"fold_rows": 0}, {"fold_rows": 0, "broadcast_limit": 0}])
-def test_solve_policy(golden_model, options):
-    epsilon = 1e-10 if not options else 1e-7
-    solution = solve.solve_policy(*golden_model, epsilon=epsilon, **options)
+def test_solve_policy(golden_model):
+    solution = solve.solve_policy(*golden_model)
     assert rows(solution.policy) == [(0, 0), (1, 1)]
     assert rows(solution.values) == [(0, 3.185841), (1, 4.100295), (2, 10.0), (3, 0.0)]
     assert rows(solution.action_values) == [
@@ -136,6 +134,16 @@ def test_solve_policy(golden_model, options):
     ]
 
 
+@pytest.mark.parametrize("broadcast_limit", [None, 0])
+def test_solve_policy_by_joins(golden_model, broadcast_limit):
+    folded = solve.solve_policy(*golden_model, gamma=0.3)
+    joined = solve.solve_policy(
+        *golden_model, gamma=0.3, fold_rows=0, broadcast_limit=broadcast_limit
+    )
+    assert rows(joined.values) == rows(folded.values)
+    assert rows(joined.policy) == rows(folded.policy)
+
+
 def test_best_action_breaks_ties_low(spark):
     q = spark.createDataFrame([(0, 2, 1.0), (0, 1, 1.0), (0, 3, 2.0)], "CLUSTER int, ACTION int, q double")
     assert rows(decision.best_action(q)) == [(0, 1)]
