@@ -24,10 +24,10 @@ HEADLINE = [
     "stddev_incoherence",
     "most_likely_path",
     "confusion_matrix",
-    "solve_policy_values",
+    "solve_policy",
     "sample_transition",
-    "policy_rollout_full",
-    "absorption_probabilities_all",
+    "policy_rollout",
+    "absorption_probabilities",
     "absorption_after_action",
     "time_profile",
     "feature_zscores",

@@ -297,8 +297,8 @@ def oracle(name: str, body: str) -> None:
     ORACLES[name] = sql(body)
 
 
-oracle("scan_steps_table", "SELECT * FROM raw_steps")
-oracle("scan_end_states_table", "SELECT * FROM ends")
+oracle("scan_steps", "SELECT * FROM raw_steps")
+oracle("scan_end_states", "SELECT * FROM ends")
 ORDER_STEPS = (
     """SELECT CAST(o_custkey AS VARCHAR) AS ID, CAST(row_number() OVER
     (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS TIME,
@@ -551,22 +551,22 @@ oracle(
     FROM labelled""",
 )
 oracle("distinct_rows", "SELECT DISTINCT CLUSTER, ACTION, NEXT_CLUSTER FROM labelled")
-oracle("kl_divergence_rows", "SELECT ID, TIME, round(kl, 6) AS kl FROM diverged")
-oracle("js_divergence_rows", "SELECT ID, TIME, round(js, 6) AS js FROM diverged")
+oracle("kl_divergence", "SELECT ID, TIME, round(kl, 6) AS kl FROM diverged")
+oracle("js_divergence", "SELECT ID, TIME, round(js, 6) AS js FROM diverged")
 oracle(
-    "vector_element_rows",
+    "vector_element",
     """SELECT ID, TIME, value AS present, CAST(0 AS DOUBLE) AS absent, CAST(CASE total_sofa
     WHEN 0 THEN k WHEN 1 THEN value WHEN 2 THEN total_sofa ELSE 0 END AS DOUBLE) AS chosen
     FROM steps""",
 )
-oracle("pack_array_rows", "SELECT ID, TIME, k || ',' || total_sofa AS packed FROM steps")
+oracle("pack_array", "SELECT ID, TIME, k || ',' || total_sofa AS packed FROM steps")
 oracle(
     "math",
     """SELECT ID, TIME, round(abs(value - k), 6) AS distance, round((value - k) ** 2, 4) AS squared,
     round(RISK / (k + 1), 6) AS ratio, round(ln(value + 1), 6) AS log FROM steps""",
 )
 oracle(
-    "portable_uniform_rows",
+    "portable_uniform",
     f"SELECT ID, TIME, round({UNIFORM.format(t='steps')}, 9) AS u FROM steps",
 )
 oracle(
@@ -603,13 +603,13 @@ oracle(
     FROM halves""",
 )
 oracle(
-    "apply_split_rows",
+    "apply_split",
     """SELECT s.ID, s.TIME, s.CLUSTER, coalesce(lead(s.CLUSTER) OVER
     (PARTITION BY s.ID ORDER BY s.TIME), CAST(i.END_INDEX + 1 AS INT)) AS NEXT_CLUSTER
     FROM split s LEFT JOIN indexed i ON s.ID = i.ID""",
 )
 oracle("bellman_backup", "SELECT CLUSTER, round(v, 6) AS v FROM v3")
-oracle("solve_policy_values", "SELECT CLUSTER, round(v, 6) AS v FROM solved")
+oracle("solve_policy", "SELECT CLUSTER, round(v, 6) AS v FROM solved")
 oracle(
     "action_values",
     "SELECT CLUSTER, "
@@ -640,7 +640,7 @@ def walk_sql(limit: int) -> str:
     WHERE w.TIME <= {limit}"""
 
 
-oracle("policy_rollout_full", walk_sql(5000))
+oracle("policy_rollout", walk_sql(5000))
 oracle("policy_rollout_three_steps", walk_sql(3))
 oracle("terminal_states", "SELECT END_INDEX AS CLUSTER FROM dim")
 oracle(
@@ -651,7 +651,7 @@ oracle("most_likely_path", "SELECT ID, predicted_final_cluster FROM predicted")
 oracle("policy_matrix", "SELECT CLUSTER, NEXT_CLUSTER, round(prob, 6) AS prob FROM m0")
 oracle("find_absorbing", "SELECT END_INDEX AS CLUSTER FROM dim")
 oracle(
-    "absorption_probabilities_all",
+    "absorption_probabilities",
     "SELECT CLUSTER, END_STATE, round(prob, 6) AS prob FROM absorbed",
 )
 oracle(
@@ -701,6 +701,6 @@ oracle(
       FROM c12 GROUP BY CLUSTER) WHERE residual > 1e-6""",
 )
 oracle(
-    "check_action_rows",
+    "check_action_row",
     "SELECT DISTINCT CLUSTER, CAST(9 AS INT) AS ACTION, CAST(0 AS DOUBLE) AS total FROM p",
 )

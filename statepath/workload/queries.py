@@ -57,7 +57,8 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    """Register under the function's name; ``_query`` only avoids hiding an import."""
+    REGISTRY[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -156,13 +157,13 @@ def spoiled_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def scan_steps_table(spark, sf):
+def scan_steps_query(spark, sf):
     event_steps(spark, sf).createOrReplaceTempView("statepath_steps")
     return scan_steps(spark, "statepath_steps")
 
 
 @query
-def scan_end_states_table(spark, sf):
+def scan_end_states_query(spark, sf):
     event_end_states(spark, sf).createOrReplaceTempView("statepath_end_states")
     return scan_end_states(spark, "statepath_end_states")
 
@@ -583,19 +584,19 @@ def with_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def kl_divergence_rows(spark, sf):
+def kl_divergence_query(spark, sf):
     value = kl_divergence(F.col("prob"), F.col("mean"))
     return with_mean(spark, sf).select("ID", "TIME", F.round(value, 6).alias("kl"))
 
 
 @query
-def js_divergence_rows(spark, sf):
+def js_divergence_query(spark, sf):
     value = js_divergence(F.col("prob"), F.col("mean"))
     return with_mean(spark, sf).select("ID", "TIME", F.round(value, 6).alias("js"))
 
 
 @query
-def vector_element_rows(spark, sf):
+def vector_element_query(spark, sf):
     rows = base_steps(spark, sf).withColumn("v", pack_array(FEATURES))
     return rows.select(
         "ID",
@@ -607,7 +608,7 @@ def vector_element_rows(spark, sf):
 
 
 @query
-def pack_array_rows(spark, sf):
+def pack_array_query(spark, sf):
     packed = F.array_join(pack_array(["k", "total_sofa"]).cast("array<int>").cast("array<string>"), ",")
     return base_steps(spark, sf).select("ID", "TIME", packed.alias("packed"))
 
@@ -625,7 +626,7 @@ def math(spark, sf):
 
 
 @query
-def portable_uniform_rows(spark, sf):
+def portable_uniform_query(spark, sf):
     u = portable_uniform(42, F.col("ID"), F.col("TIME"))
     return base_steps(spark, sf).select("ID", "TIME", F.round(u, 9).alias("u"))
 
@@ -708,7 +709,7 @@ def accept_split(spark, sf):
 
 
 @query
-def apply_split_rows(spark, sf):
+def apply_split_query(spark, sf):
     base, ends = written_inputs(spark, sf)
     steps = materialize(transitions.next_state(base, ends))
     halves = steps.where("CLUSTER = 1").withColumn("SUB", (F.col("k") >= 50).cast("int"))
@@ -717,7 +718,7 @@ def apply_split_rows(spark, sf):
 
 
 @query
-def refine_states_log(spark, sf):
+def refine_states_query(spark, sf):
     trained = refine_states(event_steps(spark, sf), event_end_states(spark, sf), CONFIG)
     return trained.log
 
@@ -779,7 +780,7 @@ def bellman_backup(spark, sf):
 
 
 @query
-def solve_policy_values(spark, sf):
+def solve_policy_query(spark, sf):
     solution = solve_policy(*model_tables(spark, sf))
     return rounded(solution.values, "v")
 
@@ -821,7 +822,7 @@ def rolled(spark: SparkSession, sf: str, max_steps: int) -> DataFrame:
 
 
 @query
-def policy_rollout_full(spark, sf):
+def policy_rollout_query(spark, sf):
     return rolled(spark, sf, 5_000)
 
 
@@ -857,7 +858,7 @@ def find_absorbing(spark, sf):
 
 
 @query
-def absorption_probabilities_all(spark, sf):
+def absorption_probabilities_query(spark, sf):
     return rounded(absorption_probabilities(solved_matrix(spark, sf)[2]), "prob")
 
 
@@ -927,7 +928,7 @@ def check_reachable(spark, sf):
 
 
 @query
-def check_action_rows(spark, sf):
+def check_action_row_query(spark, sf):
     p = model_tables(spark, sf)[0]
     pairs = profile.expand_grid(p.select("CLUSTER", "ACTION").distinct(), "CLUSTER", [*ACTIONS, 9], "ACTION")
     return quality.check_action_rows(p, pairs)
