@@ -65,23 +65,28 @@ def _advance_by_map(frontier, moves, max_steps, seed, steps):
     entry = F.struct("CLUSTER", F.struct("ends", "ACTION", "upper", "following"))
     table = moves.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
-    def step(at, _):
-        move = F.try_element_at(F.col("moves"), at["CLUSTER"])
+    def moved(at, move, u):
         stop = _verdict(move, at["TIME"], max_steps)
-        u = portable_uniform(seed, F.col("ID"), at["TIME"])
         place = F.size(F.filter(move["upper"], lambda hi: hi <= u)) + 1
-        following = F.try_element_at(move["following"], place)
-        stopped = at["stop_reason"].isNotNull()
-        moved = F.struct(
+        return F.struct(
             F.when(stop.isNull(), at["TIME"] + 1).otherwise(at["TIME"]).alias("TIME"),
-            F.when(stop.isNull(), following).otherwise(at["CLUSTER"]).alias("CLUSTER"),
+            F.when(stop.isNull(), F.try_element_at(move["following"], place))
+            .otherwise(at["CLUSTER"])
+            .alias("CLUSTER"),
             stop.alias("stop_reason"),
             F.concat(
                 at["path"],
                 _visit(at["TIME"], at["CLUSTER"], F.when(stop.isNull(), move["ACTION"])),
             ).alias("path"),
         )
-        return F.when(stopped, at).otherwise(moved)
+
+    def step(at, _):
+        # the lookup and the draw are bound once, not once per use
+        move = F.try_element_at(F.col("moves"), at["CLUSTER"])
+        u = portable_uniform(seed, F.col("ID"), at["TIME"])
+        drawn = F.struct(move.alias("move"), u.alias("u"))
+        bound = F.transform(F.array(drawn), lambda d: moved(at, d["move"], d["u"]))
+        return F.when(at["stop_reason"].isNotNull(), at).otherwise(F.get(bound, F.lit(0)))
 
     start = F.struct(
         F.col("TIME"),
