@@ -61,7 +61,11 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most ``limit`` bytes in ``column``, or one row."""
-    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
+    content = batch.column(column)
+    if pa.types.is_list(content.type):
+        lengths = 4 * pc.list_value_length(content).fill_null(0).to_numpy().astype(np.int64)
+    else:
+        lengths = pc.binary_length(content).fill_null(0).to_numpy()
     ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < batch.num_rows:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statepath.llm import decontamination, token_counts, url_filter
+from statepath.llm import decontamination, exact_dedup, simhash, token_counts, url_filter
 from statepath.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,35 @@ FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (do
 """
 
 
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = exact_dedup.mark_copies(docs)
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLES["op3_exact_dedup"] = """
+WITH groups AS (
+  SELECT coalesce(text, '') AS content, max(doc_id) AS keep_id, count(*) AS group_size
+  FROM documents GROUP BY coalesce(text, '')
+)
+SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
+  d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(g.content) AS text_sha256
+FROM documents d JOIN groups g ON coalesce(d.text, '') = g.content
+"""
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grouped = simhash.near_groups(docs, keep_text=False)
+    return grouped.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
