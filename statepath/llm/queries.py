@@ -16,6 +16,7 @@ from statepath.llm import (
     simhash,
     token_counts,
     url_filter,
+    warc,
 )
 from statepath.llm.common import table
 
@@ -95,6 +96,20 @@ FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (do
 """
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.round_trip(pages)
+    held = F.when(F.col("record_type") == "response", F.octet_length("payload"))
+    return records.select(
+        warc.row_of("record_id").alias("page_id"),
+        F.coalesce(held, "payload_length").cast("long").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        warc.row_of("refers_to").alias("refers_to"),
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
