@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,3 +195,23 @@ def attach_groups(
     ).withColumn("_group", F.coalesce("_hot", "_cold"))
     kept = [c for c in rows.columns if c not in values]
     return joined.select(*kept, *[F.col(f"_group.{v}").alias(v) for v in values])
+
+
+def bounded_sample(rows: DataFrame, label: str, limit: int, order_by: str) -> DataFrame:
+    """At most ``limit`` rows of each label, chosen by a hash of ``order_by`` alone.
+
+    A first cut by the hash leaves about twice as many, so that ranking gathers only few.
+    """
+    sized = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(label).alias("_label"), "_n"
+    )
+    place = F.pmod(F.xxhash64(F.lit(label), F.col(order_by)), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.withColumn("_place", place).join(
+        F.broadcast(sized), F.col(label) == F.col("_label")
+    ).where(F.col("_place") * F.col("_n") <= 2 * limit + 20)
+    ranked = Window.partitionBy(label).orderBy("_place", order_by)
+    return (
+        near.withColumn("_rank", F.row_number().over(ranked))
+        .where(F.col("_rank") <= limit)
+        .select(*rows.columns)
+    )

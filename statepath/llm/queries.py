@@ -12,6 +12,7 @@ from statepath.llm import (
     chat,
     decontamination,
     exact_dedup,
+    language,
     sentencepiece_bpe,
     simhash,
     token_counts,
@@ -179,6 +180,16 @@ FROM parsed LEFT JOIN best USING (row_id)
 """
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", held_out())
+    learned_from = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
+    model = language.learn(learned_from)
+    shown = docs.select("doc_id", "held_out", "text")
+    return language.predict(shown, model, keep_text=False)
+
+
 @query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts forge control strings, formatted and read back."""
