@@ -203,11 +203,11 @@ def bounded_sample(rows: DataFrame, label: str, limit: int, order_by: str) -> Da
     A first cut by the hash leaves about twice as many, so that ranking gathers only few.
     """
     sized = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col(label).alias("_label"), "_n"
+        F.col(label).alias("_own"), "_n"
     )
     place = F.pmod(F.xxhash64(F.lit(label), F.col(order_by)), F.lit(1 << 40)) / float(1 << 40)
     near = rows.withColumn("_place", place).join(
-        F.broadcast(sized), F.col(label) == F.col("_label")
+        F.broadcast(sized), F.col(label) == F.col("_own")
     ).where(F.col("_place") * F.col("_n") <= 2 * limit + 20)
     ranked = Window.partitionBy(label).orderBy("_place", order_by)
     return (

@@ -16,6 +16,7 @@ from statepath.llm import (
     sentencepiece_bpe,
     simhash,
     token_counts,
+    toxicity,
     url_filter,
     warc,
 )
@@ -153,6 +154,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the rows that are not held out."""
+    return toxicity.learn(docs.where(~held_out()), labels.where(~held_out()))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    shown = docs.withColumn("held_out", held_out())
+    return toxicity.score(shown, model, keep_text=False, with_spans=False)
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
