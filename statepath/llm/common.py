@@ -107,6 +107,19 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+def set_aside(
+    df: DataFrame, *needed: str
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all but the needed columns under names no operator uses, and the way back."""
+    names = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c not in needed}
+    columns = df.columns
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
+
+    return df.withColumnsRenamed(names), back
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     """(starts, ends, document) of every run of word bytes; documents cut runs."""
     flags = is_word[data]

@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import attach_groups, shared_files, ship_code
+from statepath.llm.common import attach_groups, set_aside, shared_files, ship_code
 from statepath.storage import materialize, new_path
 
 # Bytes of different texts that a bucket holds before it splits.
@@ -234,8 +234,9 @@ def mark_copies(
 def remove_copies(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """One row of each group of equal texts, with the columns of ``docs``."""
-    kept = mark_copies(docs, row_id, text, bucket_bytes).where("kept")
+    """One row of each group of equal texts; other columns of ``docs`` may have any names."""
+    hidden, back = set_aside(docs, row_id, text)
+    kept = mark_copies(hidden, row_id, text, bucket_bytes).where("kept")
     single = kept.where("group_size = 1")
     several = kept.where("group_size > 1").dropDuplicates(["text_sha256"])
-    return single.unionByName(several).select(*docs.columns)
+    return back(single.unionByName(several))

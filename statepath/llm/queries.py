@@ -136,7 +136,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_groups(docs, keep_text=False)
     return grouped.select(
         "doc_id",
-        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("print_0"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 

@@ -5,16 +5,23 @@ bit. Each half is therefore indexed with each of its bits deleted in turn: such
 meets under one of these 64 keys, and is then verified. Only different fingerprints are
 indexed, so copies cost nothing.
 
-Fingerprints that meet under a key are linked in their task, where a group gives the
-edges of a spanning forest, never all its pairs. A group of more than ``GROUP`` is cut
-again by the same method: of the other half, 32 bits with at most 3 differences, one
-16-bit half differs in at most one bit, and of what then remains one byte does. With 8
-bits left and three deleted, no group at that depth has more than 2^11 fingerprints.
+Fingerprints that meet under a key are linked in their task, which gives the edges of a
+spanning forest, never all pairs of a group. A group of more than ``GROUP`` is cut again
+by the same method: of the other half, 32 bits with at most 3 differences, one 16-bit
+half differs in at most one bit, and of what then remains one byte does. With 8 bits left
+and three deleted, no group at that depth has more than 2^11 fingerprints.
+
+Three bits are too few to find texts that share four fifths of their shingles: those
+differ in 15 % of the bits. ``SIMILAR`` therefore takes two fingerprints with six segments
+of 21 bits, links what meets under a deletion variant of a segment and differs in at most
+19 of all 128 bits, and finds about 70 % of the pairs at a similarity of 0.8, 80 % at
+0.85, 95 % at 0.9; groups connect most of the rest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +29,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import add_columns, attach_groups, mix, ship_code, utf8
+from statepath.llm.common import add_columns, attach_groups, mix, set_aside, ship_code, utf8
 from statepath.llm.components import components
 from statepath.storage import materialize
 
 SHINGLE = 3
 SEED = 42
-DISTANCE = 3
 GROUP = 2_048
 # Groups up to this size are compared pair by pair with array operations over the batch.
 _SMALL = 6
 _LAST_WIDTH = 16
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles of a text, repeats included.
+@dataclass(frozen=True)
+class Scheme:
+    """Which segments (print, first bit, width) are indexed, and how many bits may differ."""
+
+    prints: int
+    segments: tuple[tuple[int, int, int], ...]
+    distance: int
+    # the segments are halves, so a group can be cut again by the other half
+    halves: bool = False
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"print_{i}" for i in range(self.prints)]
+
+
+CLOSE = Scheme(1, ((0, 0, 32), (0, 32, 32)), 3, halves=True)
+SIMILAR = Scheme(2, tuple((p, 21 * i, 21) for p in (0, 1) for i in (0, 1, 2)), 19)
+
+
+def fingerprints(raw: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """SimHashes of the word shingles of a text, repeats included.
 
     Words are split at ASCII white space, A-Z lower-cased; a text of fewer words than a
-    shingle is one shingle, and a text without words has fingerprint 0.
+    shingle is one shingle, and a text without words has fingerprint 0. The first one is
+    of the XXH64 hashes, others of these scattered anew.
     """
     words = raw.lower().split()
     if not words:
-        return 0
+        return [0] * prints
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -52,181 +78,235 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(
-        (digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())),
+        (digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), last.tolist())),
         np.uint64,
         n,
     )
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > n
-    return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
+    found = []
+    for _ in range(prints):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+        majority = 2 * bits.sum(axis=0, dtype=np.int64) > n
+        found.append(int(np.packbits(majority, bitorder="little").view(np.uint64)[0]))
+        hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return found
+
+
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """One number for the fingerprints of each row: the fingerprint itself if it is one."""
+    found = prints[:, 0]
+    for i in range(1, prints.shape[1]):
+        found = mix(found * np.uint64(0xD1B54A32D192ED03)) ^ prints[:, i]
+    return found
 
 
 def add_fingerprints(
     docs: DataFrame,
     text: str = "text",
-    result: str = "fingerprint",
     shingle: int = SHINGLE,
+    scheme: Scheme = CLOSE,
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with the fingerprint of each text as a (signed) long; null counts as empty."""
+    """``docs`` with print_0, ... and node as (signed) longs; a null text counts as empty."""
 
     def compute(piece: pa.RecordBatch) -> dict:
         data, offsets = utf8(piece.column(text))
         raw = data.tobytes()
-        known: dict[bytes, int] = {}
-        found = np.zeros(piece.num_rows, np.uint64)
+        known: dict[bytes, list[int]] = {}
+        found = np.zeros((piece.num_rows, scheme.prints), np.uint64)
         for i in range(piece.num_rows):
             own = raw[offsets[i] : offsets[i + 1]]
             if own not in known:
-                known[own] = fingerprint(own, shingle)
+                known[own] = fingerprints(own, shingle, scheme.prints)
             found[i] = known[own]
-        return {result: pa.array(found.view(np.int64))}
+        columns = [*found.T, node_of(found)]
+        return dict(zip(names, (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns)))
 
-    return add_columns(docs, compute, {result: "long"}, text, () if keep_text else (text,))
+    names = [*scheme.columns, "node"]
+    return add_columns(docs, compute, dict.fromkeys(names, "long"), text, () if keep_text else (text,))
 
 
-def _variants(key: np.ndarray, prints: np.ndarray, rest: np.ndarray, width: int):
-    """All one-bit deletions of both halves of the ``width`` bits from bit ``rest`` on."""
-    half = width // 2
-    keys, others = [], []
-    ones = np.uint64((1 << half) - 1)
-    for side in (0, 1):
-        own = (prints >> (rest + np.uint64(side * half))) & ones
-        other = rest + np.uint64((1 - side) * half)
-        for bit in range(half):
-            left = own & ~np.uint64(1 << bit)
-            tag = np.uint64((side * half + bit + 1) << 40)
-            keys.append(mix((key * np.uint64(0x9E3779B97F4A7C15)) ^ left ^ tag))
-            others.append(other)
-    return np.concatenate(keys), np.tile(prints, 2 * half), np.concatenate(others)
+def _variants(key: np.ndarray, print_: np.ndarray, first, width: int, tag: int) -> list[np.ndarray]:
+    """Keys of all one-bit deletions of ``width`` bits from bit ``first`` on."""
+    own = (print_ >> np.asarray(first, np.uint64)) & np.uint64((1 << width) - 1)
+    base = key * np.uint64(0x9E3779B97F4A7C15)
+    found = []
+    for bit in range(width):
+        left = own & ~np.uint64(1 << bit)
+        found.append(mix(base ^ left ^ np.uint64((tag * 64 + bit + 1) << 40)))
+    return found
 
 
-def _explode(rows: DataFrame, width: int) -> DataFrame:
+def _explode(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """The rows once under each key: of the scheme's segments, or of halves of what is left."""
+    names = ["key", *scheme.columns, "rest"]
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                key, prints, rest = (
-                    part.column(c).to_numpy().view(np.uint64) for c in ("key", "print", "rest")
-                )
-                found = _variants(key, prints, rest, width)
+                key, *prints, rest = (part.column(c).to_numpy().view(np.uint64) for c in names)
+                keys, others = [], []
+                if width == 64:
+                    for tag, (number, first, size) in enumerate(scheme.segments):
+                        own = _variants(key, prints[number], first, size, tag)
+                        keys += own
+                        rest_of = 32 - first if scheme.halves else 0
+                        others += [np.full(len(key), rest_of, np.uint64)] * len(own)
+                else:
+                    half = width // 2
+                    for side in (0, 1):
+                        own = _variants(key, prints[0], rest + np.uint64(side * half), half, side)
+                        keys += own
+                        others += [rest + np.uint64((1 - side) * half)] * half
+                columns = [np.concatenate(keys), *(np.tile(p, len(keys)) for p in prints), np.concatenate(others)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in found], names=["key", "print", "rest"]
+                    [pa.array(x.view(np.int64)) for x in columns], names=names
                 )
 
-    return rows.mapInArrow(explode, "key long, print long, rest long")
+    return rows.mapInArrow(explode, ", ".join(f"{c} long" for c in names))
+
+
+def _differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
 
 
-def _forest(prints: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges that connect what links of at most DISTANCE bits connect."""
+def _forest(prints: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Places of edges that connect what links of at most ``distance`` bits connect."""
     todo = np.arange(len(prints))
-    frontier = np.zeros(0, np.int64)
-    while len(todo) or len(frontier):
-        if not len(frontier):
-            frontier, todo = todo[:1], todo[1:]
-        own, frontier = frontier[0], frontier[1:]
-        near = np.bitwise_count(prints[todo] ^ prints[own]) <= DISTANCE
-        for other in todo[near]:
-            yield prints[own], prints[other]
-        frontier = np.concatenate([frontier, todo[near]])
+    frontier: list[int] = []
+    left, right = [], []
+    while len(todo) or frontier:
+        if not frontier:
+            frontier, todo = [int(todo[0])], todo[1:]
+        own = frontier.pop()
+        near = _differing(prints[todo], prints[own]) <= distance
+        reached = todo[near].tolist()
+        left += [own] * len(reached)
+        right += reached
+        frontier += reached
         todo = todo[~near]
+    return left, right
 
 
-def _small_pairs(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    left, right = [], []
-    for lag in range(1, _SMALL):
-        near = (group[:-lag] == group[lag:]) & (
-            np.bitwise_count(prints[:-lag] ^ prints[lag:]) <= DISTANCE
-        )
-        left.append(prints[:-lag][near])
-        right.append(prints[lag:][near])
-    return np.concatenate(left), np.concatenate(right)
+class _Trees:
+    """Union-find over the linked nodes of a task, so that it reports stars only."""
+
+    def __init__(self):
+        self._above: dict[int, int] = {}
 
+    def find(self, node: int) -> int:
+        path = []
+        while (above := self._above.setdefault(node, node)) != node:
+            path.append(node)
+            node = above
+        for passed in path:
+            self._above[passed] = node
+        return node
 
-def _links(keyed: DataFrame, group_limit: int | None) -> DataFrame:
-    """Edges within each key, and the rows of groups beyond the limit (overfull).
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in zip(left.tolist(), right.tolist()):
+            a, b = self.find(a), self.find(b)
+            if a != b:
+                self._above[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple[int, int]]:
+        return [(n, root) for n in list(self._above) if (root := self.find(n)) != n]
+
+
+def _links(keyed: DataFrame, scheme: Scheme, group_limit: int | None) -> DataFrame:
+    """Edges (a, b) between nodes, and the rows of groups beyond the limit (overfull).
 
     Rows must lie together by key. They stream through the task; only the group at hand,
-    up to the limit, is held.
+    up to the limit, and the links found are held.
     """
-    names = ["overfull", "key", "a", "b"]
-    schema = "overfull boolean, key long, a long, b long"
-
-    def out(overfull: bool, key, a, b) -> pa.RecordBatch:
-        arrays = [np.asarray(x, np.uint64).view(np.int64) for x in (key, a, b)]
-        flags = pa.array(np.full(len(arrays[1]), overfull))
-        return pa.RecordBatch.from_arrays([flags, *map(pa.array, arrays)], names=names)
+    names = ["key", *scheme.columns, "rest"]
+    schema = "overfull boolean, a long, b long, " + ", ".join(f"{c} long" for c in names)
+    kinds = [pa.bool_()] + [pa.int64()] * (len(names) + 2)
+
+    def out(overfull: bool, columns: list) -> pa.RecordBatch:
+        n = len(columns[0])
+        own = [pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in columns]
+        none = [pa.nulls(n, pa.int64())]
+        flags = pa.array(np.full(n, overfull))
+        arrays = [flags, *none * 2, *own] if overfull else [flags, *own, *none * len(names)]
+        return pa.RecordBatch.from_arrays(
+            [a.cast(k) for a, k in zip(arrays, kinds)], names=["overfull", "a", "b", *names]
+        )
 
-    def close(key, prints, rest) -> Iterator[pa.RecordBatch]:
+    def close(trees: _Trees, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Complete groups, in key order."""
+        key, prints = columns[0], np.stack(columns[1:-1], axis=1)
+        nodes = node_of(prints)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         sizes = np.diff(cuts)
         group = np.repeat(np.arange(len(sizes)), sizes)
-        small = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
-        a, b = _small_pairs(prints[small], group[small])
-        yield out(False, np.zeros(len(a)), a, b)
+        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _SMALL), sizes))
+        for lag in range(1, _SMALL):
+            left, right = small[:-lag], small[lag:]
+            near = group[left] == group[right]
+            left, right = left[near], right[near]
+            near = _differing(prints[left], prints[right]) <= scheme.distance
+            trees.add(nodes[left[near]], nodes[right[near]])
         for i in np.flatnonzero(sizes > _SMALL):
             at = slice(cuts[i], cuts[i + 1])
             if group_limit is not None and sizes[i] > group_limit:
-                yield out(True, key[at], prints[at], rest[at])
+                yield out(True, [x[at] for x in columns])
             else:
-                edges = np.array(list(_forest(prints[at])), np.uint64).reshape(-1, 2)
-                yield out(False, np.zeros(len(edges)), edges[:, 0], edges[:, 1])
+                left, right = _forest(prints[at], scheme.distance)
+                trees.add(nodes[at][left], nodes[at][right])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64)] * 3
+        trees = _Trees()
+        held = [np.zeros(0, np.uint64)] * len(names)
         passing = None  # the key of an overfull group whose start has been passed on
         for batch in batches:
-            new = [batch.column(c).to_numpy().view(np.uint64) for c in ("key", "print", "rest")]
-            key, prints, rest = (np.concatenate(x) for x in zip(held, new))
+            new = [batch.column(c).to_numpy().view(np.uint64) for c in names]
+            columns = [np.concatenate(x) for x in zip(held, new)]
             if passing is not None:
-                stop = int(np.searchsorted(key != passing, True))
-                if stop:
-                    yield out(True, key[:stop], prints[:stop], rest[:stop])
-                key, prints, rest = key[stop:], prints[stop:], rest[stop:]
-                if not len(key):
-                    held = [key, prints, rest]
+                other = np.flatnonzero(columns[0] != passing)
+                stop = int(other[0]) if len(other) else len(columns[0])
+                yield out(True, [x[:stop] for x in columns])
+                held = columns = [x[stop:] for x in columns]
+                if not len(other):
                     continue
                 passing = None
-            changes = np.flatnonzero(np.diff(key))
+            changes = np.flatnonzero(np.diff(columns[0]))
             last = int(changes[-1]) + 1 if len(changes) else 0
             if last:
-                yield from close(key[:last], prints[:last], rest[:last])
-            held = [key[last:], prints[last:], rest[last:]]
+                yield from close(trees, [x[:last] for x in columns])
+            held = [x[last:] for x in columns]
             if group_limit is not None and len(held[0]) > group_limit:
                 passing = held[0][0]
-                yield out(True, *held)
+                yield out(True, held)
                 held = [x[:0] for x in held]
         if len(held[0]):
-            yield from close(*held)
+            yield from close(trees, held)
+        stars = np.array(trees.stars(), np.uint64).reshape(-1, 2)
+        yield out(False, [stars[:, 0], stars[:, 1]])
 
     return keyed.mapInArrow(run, schema)
 
 
-def find_links(prints: DataFrame, group_limit: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect all different fingerprints within DISTANCE bits.
+def find_links(prints: DataFrame, scheme: Scheme = CLOSE, group_limit: int = GROUP) -> DataFrame:
+    """Edges (a, b) between nodes that connect all links of the scheme, and nothing else.
 
-    ``prints`` has one column, print. Not every linked pair is an edge, but every linked
-    pair is connected by edges, and every edge is a link.
+    ``prints`` has one row for each node. An edge may stand for a chain of links.
     """
     ship_code(prints.sparkSession)
     zero = F.lit(0).cast("long")
-    rows = prints.select(zero.alias("key"), "print", zero.alias("rest"))
+    rows = prints.select(zero.alias("key"), *scheme.columns, zero.alias("rest"))
     edges = None
     width = 64
-    while width >= _LAST_WIDTH:
-        keyed = _explode(rows, width).repartition("key").sortWithinPartitions("key")
-        limit = None if width == _LAST_WIDTH else group_limit
-        found = materialize(_links(keyed, limit))
+    while True:
+        keyed = _explode(rows, scheme, width).repartition("key").sortWithinPartitions("key")
+        can_cut = scheme.halves and width > _LAST_WIDTH
+        found = materialize(_links(keyed, scheme, group_limit if can_cut else None))
         own = found.where("not overfull").select("a", "b")
         edges = own if edges is None else edges.union(own)
-        rows = found.where("overfull").select(
-            "key", F.col("a").alias("print"), F.col("b").alias("rest")
-        )
-        if rows.isEmpty():
-            break
+        rows = found.where("overfull").select("key", *scheme.columns, "rest")
+        if not can_cut or rows.isEmpty():
+            return edges
         width //= 2
-    return edges.distinct()
 
 
 def near_groups(
@@ -234,31 +314,47 @@ def near_groups(
     row_id: str = "doc_id",
     text: str = "text",
     shingle: int = SHINGLE,
+    scheme: Scheme = CLOSE,
     group_limit: int = GROUP,
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with fingerprint and component_id: the least id that links can reach.
+    """``docs`` with its fingerprints and component_id: the least id that links can reach.
 
     A component without any id has a null component_id. Columns with a result's name are
     replaced. The rows, without the text if it is not kept, are written once with their
     fingerprints.
     """
-    printed = materialize(add_fingerprints(docs, text, shingle=shingle, keep_text=keep_text))
+    printed = materialize(add_fingerprints(docs, text, shingle, scheme, keep_text))
     own = materialize(
-        printed.groupBy("fingerprint").agg(
+        printed.groupBy("node", *scheme.columns).agg(
             F.min(row_id).alias("least_id"), F.count(F.lit(1)).alias("n_rows")
         )
     )
-    links = find_links(own.select(F.col("fingerprint").alias("print")), group_limit)
-    roots = materialize(components(links, "a", "b"))
-    rooted = own.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "n_rows", "least_id", F.coalesce("root", "fingerprint").alias("root")
+    roots = components(find_links(own, scheme, group_limit), "a", "b")
+    linked = materialize(
+        roots.join(own, "node").select("node", "root", "least_id")
     )
-    least = rooted.groupBy("root").agg(
-        F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_prints")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(least, "root").select("node", "component_id")
+    groups = own.join(named, "node", "left").select(
+        "node", "n_rows", F.coalesce("component_id", "least_id").alias("component_id")
     )
-    named = attach_groups(rooted, least, "root", "n_prints", F.col("fingerprint")).select(
-        "fingerprint", "n_rows", "component_id"
-    )
-    grouped = attach_groups(printed, named, "fingerprint", "n_rows", F.col(row_id))
+    grouped = attach_groups(printed, groups, "node", "n_rows", F.col(row_id))
     return grouped.drop("n_rows")
+
+
+def remove_near_copies(
+    docs: DataFrame,
+    row_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    scheme: Scheme = SIMILAR,
+) -> DataFrame:
+    """One row of each group of near duplicates, the one with the least id.
+
+    Rows that share that id stay together, as do rows of a group in which none has an id.
+    Other columns of ``docs`` may have any names.
+    """
+    hidden, back = set_aside(docs, row_id, text)
+    grouped = near_groups(hidden, row_id, text, shingle, scheme)
+    return back(grouped.where(F.col(row_id).eqNullSafe(F.col("component_id"))))
