@@ -1,7 +1,7 @@
 """Connected components of a graph by alternating large-star and small-star steps.
 
-A hub of a large component is a hot key: its minimum is attached by ``attach_groups``,
-so no task gathers its neighbours.
+The hub of a large component is a hot key. Its least neighbour is found with partial
+aggregation; attaching it is a plain join, in which adaptive execution splits the hub.
 """
 
 from __future__ import annotations
@@ -9,32 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import attach_groups
 from statepath.storage import materialize
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
     """Directed edges (u, v) with m, the least of u and all its v."""
-    least = edges.groupBy("u").agg(
-        F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree")
-    )
-    return attach_groups(edges, least, "u", "degree", F.col("v"))
+    least = edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    return edges.join(least, "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least neighbour of u."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.distinct()
+    both = edges.select(
+        F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    ).select("col.u", "col.v")
+    return _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _with_minimum(down)
-    linked = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-        near.select("u", F.col("m").alias("v"))
-    )
+    ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    linked = _with_minimum(edges).select(F.explode(ends)).select("col.u", "col.v")
     return linked.where("u <> v").distinct()
 
 
@@ -47,7 +42,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     before = None
     while True:
-        found = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 2**32)).first()
+        found = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if not found[0] or found == before:
             break
         before = found
