@@ -16,11 +16,18 @@ from statepath.storage import join_lookup
 
 
 def attach_reward(transitions: DataFrame, rewards: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """P with the RISK of its CLUSTER, the form the sweeps read."""
+    """P with the RISK of its CLUSTER, the form the sweeps read; fails if a state has none."""
     own = rewards.select(*by, "CLUSTER", "RISK").dropDuplicates([*by, "CLUSTER"])
-    return transitions.select(*by, "CLUSTER", "ACTION", "NEXT_CLUSTER", "prob").join(
-        own, [*by, "CLUSTER"]
+    joined = transitions.select(*by, "CLUSTER", "ACTION", "NEXT_CLUSTER", "prob").join(
+        own, [*by, "CLUSTER"], "left"
     )
+    return joined.withColumn("RISK", required("RISK", "no reward for state ", "CLUSTER"))
+
+
+def required(column: str, message: str, state: str) -> Column:
+    """The column, failing where it is null."""
+    told = F.concat(F.lit(message), F.col(state).cast("string"))
+    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(told))
 
 
 def initial_values(transitions: DataFrame, rewards: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,12 +54,14 @@ def bellman_backup(
 ) -> DataFrame:
     """q(s, a) = R(s) + gamma * sum of prob * V(s'), from :func:`attach_reward`.
 
-    ``small`` says that V was counted and may be broadcast.
+    ``small`` says that V was counted and may be broadcast. A move to a state without a
+    value is an error, as leaving it out would make its action look cheap.
     """
     ahead = values.select(*by, F.col("CLUSTER").alias("NEXT_CLUSTER"), "v")
     ahead = F.broadcast(ahead) if small else ahead
     return (
-        priced.join(ahead, [*by, "NEXT_CLUSTER"])
+        priced.join(ahead, [*by, "NEXT_CLUSTER"], "left")
+        .withColumn("v", required("v", "no value for state ", "NEXT_CLUSTER"))
         .groupBy(*by, "CLUSTER", "ACTION")
         .agg((F.max("RISK") + gamma * F.sum(F.col("prob") * F.col("v"))).alias("q"))
     )

@@ -10,6 +10,8 @@ table with one row per (subject, slice) carries what crosses slice borders.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,14 +57,21 @@ def number_rows(
         .drop("n")
     )
     inside = Window.partitionBy(key, slice_by).orderBy(*order_by)
+    numbered = df.withColumn("within", F.row_number().over(inside) - 1)
     return (
-        df.withColumn("within", F.row_number().over(inside) - 1)
-        .join(offsets, [key, slice_by])
+        _join_null_safe(numbered, offsets, [key, slice_by])
         .withColumn("position", F.col("before") + F.col("within"))
         .drop("before", "within")
     )
 
 
+def _join_null_safe(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which some may be null on both sides, as a slice without a time is."""
+    renamed = table.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return rows.join(renamed, match, "left").drop(*[f"_on_{k}" for k in keys])
+
+
 def join_subject(
     steps: DataFrame, subjects: DataFrame, sliced: bool | None = None, width: int = SLICE_WIDTH
 ) -> DataFrame:
@@ -76,7 +85,7 @@ def join_subject(
         return steps.join(subjects, "ID", "left")
     cut = steps.withColumn("_slice", time_slice(width))
     pairs = cut.select("ID", "_slice").distinct().join(subjects, "ID", "left")
-    return cut.join(pairs, ["ID", "_slice"], "left").drop("_slice")
+    return _join_null_safe(cut, pairs, ["ID", "_slice"]).drop("_slice")
 
 
 def lead_values(
@@ -130,8 +139,8 @@ def _lead_by_slice(
 
     inside = Window.partitionBy("ID", "_slice").orderBy("TIME")
     ahead = cut.withColumns({f"_next_{c}": F.lead(c).over(inside) for c in sources})
-    ahead = ahead.withColumn("_last", F.lead("TIME").over(inside).isNull())
-    joined = ahead.join(heads, ["ID", "_slice"], "left")
+    ahead = ahead.withColumn("_last", F.lead(F.lit(True)).over(inside).isNull())
+    joined = _join_null_safe(ahead, heads, ["ID", "_slice"])
     crossing = {
         f"_next_{c}": F.when(F.col("_last"), F.col(f"_after_{c}")).otherwise(F.col(f"_next_{c}"))
         for c in sources

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from statepath.config import OUTPUT_COLUMNS, RESERVED_COLUMNS
+from statepath.storage import join_lookup
 
 # Feature codes and the display names they must be given.
 FEATURE_NAMES = {
@@ -166,11 +167,13 @@ def state_action_slice(steps: DataFrame, cluster: int, action: int) -> DataFrame
 
 
 def state_other_actions(steps: DataFrame, cluster: int, action: int) -> DataFrame:
-    return steps.where((F.col("CLUSTER") == cluster) & (F.col("ACTION") != action))
+    """Rows of the state with another action or none."""
+    return steps.where((F.col("CLUSTER") == cluster) & ~F.col("ACTION").eqNullSafe(action))
 
 
 def state_rest(steps: DataFrame, cluster: int) -> DataFrame:
-    return steps.where(F.col("CLUSTER") != cluster)
+    """Rows of all other states, and of none."""
+    return steps.where(~F.col("CLUSTER").eqNullSafe(cluster))
 
 
 def start_states(steps: DataFrame) -> DataFrame:
@@ -190,10 +193,10 @@ def fill_terminal(df: DataFrame, column: str, fallback: str) -> DataFrame:
 
 def name_end_states(df: DataFrame, labels: DataFrame, index: str = "END_STATE") -> DataFrame:
     """Attach ``label`` from (END_STATE, label); ``state_<i>`` where there is none."""
-    known = labels.select(F.col("END_STATE").alias("_index"), F.col("label").alias("_label"))
+    known = labels.select(F.col("END_STATE").alias(index), F.col("label").alias("_label"))
     fallback = F.concat(F.lit("state_"), F.col(index).cast("string"))
     return (
-        df.join(known, F.col(index) == F.col("_index"), "left")
+        join_lookup(df, known, [index], "left", salt_by=df.columns)
         .withColumn("label", F.coalesce(F.col("_label"), fallback))
-        .drop("_index", "_label")
+        .drop("_label")
     )

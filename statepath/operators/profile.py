@@ -89,15 +89,12 @@ def expand_grid(df: DataFrame, key: str, categories: Sequence[int], column: str)
 
 
 def action_frequency_by_state(steps: DataFrame, actions: Sequence[int]) -> DataFrame:
-    """Share of each action within a state; 0 for actions the state never took."""
+    """Share of each listed action in all rows of a state; 0 for actions it never took."""
     counts = steps.groupBy("CLUSTER", "ACTION").agg(F.count(F.lit(1)).alias("cnt"))
-    filled = expand_grid(counts, "CLUSTER", actions, "ACTION").withColumn(
-        "cnt", F.coalesce("cnt", F.lit(0))
-    )
     state = Window.partitionBy("CLUSTER")
-    return filled.select(
-        "CLUSTER", "ACTION", (F.col("cnt") / F.sum("cnt").over(state)).alias("freq")
-    )
+    shares = counts.withColumn("freq", F.col("cnt") / F.sum("cnt").over(state)).drop("cnt")
+    filled = expand_grid(shares, "CLUSTER", actions, "ACTION")
+    return filled.select("CLUSTER", "ACTION", F.coalesce("freq", F.lit(0.0)).alias("freq"))
 
 
 def feature_zscores(steps: DataFrame, features: Sequence[str]) -> DataFrame:

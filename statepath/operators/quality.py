@@ -6,6 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def check_step_keys(steps: DataFrame) -> DataFrame:
+    """How many rows break the contract of a step table, by kind, in one aggregate.
+
+    Ordered operators need (ID, TIME) to be a key: of rows that repeat one, which comes
+    next is arbitrary, and the number of rows in a time slice has no bound.
+    """
+    given = "CLUSTER" in steps.columns
+    keys = steps.groupBy("ID", "TIME").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("CLUSTER").isNull() if given else F.lit(False)).alias("no_state"),
+    )
+    whole = F.col("ID").isNotNull() & F.col("TIME").isNotNull()
+    kinds = {
+        "no subject": F.sum(F.when(F.col("ID").isNull(), F.col("n"))),
+        "no time": F.sum(F.when(F.col("TIME").isNull(), F.col("n"))),
+        "negative time": F.sum(F.when(F.col("TIME") < 0, F.col("n"))),
+        "repeated key": F.sum(F.when(whole & (F.col("n") > 1), F.col("n"))),
+        "no given state": F.sum("no_state"),
+    }
+    counted = keys.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in kinds.items()])
+    pairs = [F.struct(F.lit(k).alias("problem"), F.col(f"`{k}`").alias("n_rows")) for k in kinds]
+    return counted.select(F.inline(F.array(*pairs)))
+
+
 def check_row_sums(matrix: DataFrame, states: DataFrame, tol: float = 1e-10) -> DataFrame:
     """States whose outgoing probabilities do not sum to 1; a missing row sums to 0."""
     sums = matrix.groupBy("CLUSTER").agg(F.sum("prob").alias("total"))

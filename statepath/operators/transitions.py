@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statepath.config import SLICE_WIDTH
 from statepath.operators.ordering import join_subject, lead_values, needs_slices
+from statepath.storage import join_lookup
 
 TRANSITION_KEYS = ("CLUSTER", "ACTION", "NEXT_CLUSTER")
 
@@ -71,7 +72,7 @@ def index_end_states(end_states: DataFrame, offset: int | Column) -> DataFrame:
     names = end_state_dimension(end_states, offset).select("end_state", "END_INDEX")
     # integers aggregate by hash; the name only costs a sort where it is asked for
     subjects = (
-        end_states.join(names, "end_state", "left")
+        join_lookup(end_states, names, ["end_state"], "left", salt_by=["ID"])
         .groupBy(F.col("ID").cast("string").alias("ID"))
         .agg(
             F.min("end_state").alias("end_state"),

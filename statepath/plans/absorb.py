@@ -1,13 +1,16 @@
 """Probability of ending in each absorbing state.
 
 The state-to-state matrix is squared until the mass still on the move is below
-the tolerance: k rounds look 2^k steps ahead. Matrices of at most
-``FOLD_STATES`` states are squared inside one expression, one row per process;
-larger ones by self-joins.
+the tolerance: k rounds look 2^k steps ahead. Mass is on the move in states that
+are no end but can reach one. Matrices of at most ``FOLD_STATES`` states are
+squared inside one expression, one row per process; larger ones by self-joins.
+Rows are scaled to 1 after each round, so that rounding does not add up. A matrix
+that has not settled after 2^ROUNDS steps is an error, never a short answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +20,7 @@ from statepath.operators.decision import chain_steps, find_absorbing
 from statepath.storage import materialize
 
 FOLD_STATES = 64
-MAX_ROUNDS = 40
+ROUNDS = 64
 
 
 def _states(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -64,25 +67,34 @@ def _fold_squares(packed: DataFrame, tol: float, rounds: int) -> DataFrame:
             ),
         )
 
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda acc, p: acc + p)
+
+    def scaled(row):
+        return F.transform(row, lambda p: F.coalesce(p / F.nullif(total(row), F.lit(0.0)), p))
+
     def moving(m):
-        """Largest mass any state still has on states that are not absorbing."""
-        left = F.transform(
+        """Largest mass any state has on states that are no end but reach one."""
+        reaches = F.transform(
             m,
-            lambda row: F.aggregate(
-                F.zip_with(
-                    row, "states", lambda p, s: F.when(s["ends"], F.lit(0.0)).otherwise(p)
-                ),
-                F.lit(0.0),
-                lambda acc, p: acc + p,
+            lambda row: F.exists(
+                F.zip_with(row, "states", lambda p, s: s["ends"] & (p > 0)), lambda ok: ok
             ),
         )
+        open_ = F.zip_with(reaches, "states", lambda ok, s: ok & ~s["ends"])
+        left = F.transform(
+            m,
+            lambda row: total(F.zip_with(row, open_, lambda p, o: F.when(o, p).otherwise(0.0))),
+        )
         return F.array_max(left)
 
-    def once(m, _):
-        return F.when(moving(m) <= tol, m).otherwise(F.transform(m, lambda row: times(row, m)))
+    def once(m, number):
+        # 2^least steps see every end that can be reached at all
+        done = (F.pow(F.lit(2.0), number - 1) >= F.size("states")) & (moving(m) <= tol)
+        return F.when(done, m).otherwise(F.transform(m, lambda row: scaled(times(row, m))))
 
     squared = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("m"), once)
-    return packed.withColumn("m", squared)
+    return packed.withColumn("m", squared).withColumn("moving", moving(F.col("m")))
 
 
 def _unpack(packed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -98,45 +110,74 @@ def _unpack(packed: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def square_matrix(matrix: DataFrame, rounds: int, by: Sequence[str] = ()) -> DataFrame:
     """The matrix to the power 2^rounds, by self-joins."""
+    row = Window.partitionBy(*by, "CLUSTER")
     for _ in range(rounds):
-        matrix = materialize(chain_steps(matrix, matrix, by))
+        matrix = materialize(
+            chain_steps(matrix, matrix, by).withColumn("prob", F.col("prob") / F.sum("prob").over(row))
+        )
     return matrix
 
 
-def _square_until_absorbed(matrix, absorbing, tol, rounds, by):
+def _unsettled():
+    return RuntimeError(f"mass is still on the move after 2^{ROUNDS} steps")
+
+
+def _square_until_absorbed(matrix, absorbing, tol, rounds, by, states):
+    """As the folded form, with self-joins; ``states`` is the largest number of states."""
     ends = absorbing.select(*by, F.col("CLUSTER").alias("NEXT_CLUSTER"))
-    for _ in range(rounds):
-        moving = (
-            matrix.join(ends, [*by, "NEXT_CLUSTER"], "left_anti")
-            .groupBy(*by, "CLUSTER")
-            .agg(F.sum("prob").alias("mass"))
-        )
-        if moving.where(F.col("mass") > tol).isEmpty():
-            break
+    for number in range(rounds + 1):
+        if number >= math.ceil(math.log2(max(2, states))):
+            reaches = matrix.join(ends, [*by, "NEXT_CLUSTER"], "left_semi").where("prob > 0")
+            open_ = reaches.select(*by, F.col("CLUSTER").alias("NEXT_CLUSTER")).distinct()
+            moving = (
+                matrix.join(ends, [*by, "NEXT_CLUSTER"], "left_anti")
+                .join(open_, [*by, "NEXT_CLUSTER"], "left_semi")
+                .groupBy(*by, "CLUSTER")
+                .agg(F.sum("prob").alias("mass"))
+            )
+            if moving.where(F.col("mass") > tol).isEmpty():
+                return matrix
         matrix = square_matrix(matrix, 1, by)
-    return matrix
+    raise _unsettled()
+
+
+def refuse_invalid(matrix: DataFrame, by: Sequence[str] = ()) -> None:
+    """An error if a row does not sum to 1, a probability is negative, or a row is missing."""
+    sums = matrix.groupBy(*by, "CLUSTER").agg(
+        F.sum("prob").alias("total"), F.min("prob").alias("least")
+    )
+    asked = _states(matrix, by).join(sums, [*by, "CLUSTER"], "left")
+    fine = (F.abs(F.col("total") - 1) <= 1e-6) & (F.col("least") >= -1e-12)
+    found = asked.where(~F.coalesce(fine, F.lit(False))).select(*by, "CLUSTER", "total").limit(5)
+    bad = found.collect()
+    if bad:
+        raise ValueError(f"rows of these states are missing, negative or do not sum to 1: {bad}")
 
 
 def absorption_probabilities(
     matrix: DataFrame,
     tol: float = 1e-12,
     by: Sequence[str] = (),
-    rounds: int = MAX_ROUNDS,
+    rounds: int = ROUNDS,
     fold_states: int = FOLD_STATES,
 ) -> DataFrame:
     """(CLUSTER, END_STATE, prob) for every start state; end states are one-hot.
 
     States that can circle forever without reaching an end keep their mass out of
-    the result; ``check_reachable`` lists them.
+    the result; ``check_reachable`` lists them. An invalid matrix is refused.
     """
     matrix = materialize(matrix)
+    refuse_invalid(matrix, by)
     absorbing = materialize(find_absorbing(matrix, tol, by))
     widest = _states(matrix, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if widest <= fold_states:
         packed = _pack(matrix, absorbing, by)
-        reached = _unpack(materialize(_fold_squares(packed, tol, rounds)), by)
+        squared = materialize(_fold_squares(packed, tol, rounds))
+        if not squared.where(F.col("moving") > tol).isEmpty():
+            raise _unsettled()
+        reached = _unpack(squared, by)
     else:
-        reached = _square_until_absorbed(matrix, absorbing, tol, rounds, by)
+        reached = _square_until_absorbed(matrix, absorbing, tol, rounds, by, widest)
     ends = absorbing.select(
         *by, F.col("CLUSTER").alias("NEXT_CLUSTER"), F.col("CLUSTER").alias("END_STATE")
     )

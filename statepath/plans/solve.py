@@ -9,12 +9,14 @@ inside one expression, so hundreds of sweeps cost one job and many processes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statepath.operators.decision import (
+    required,
     attach_reward,
     bellman_backup,
     best_action,
@@ -24,8 +26,9 @@ from statepath.operators.decision import (
 from statepath.storage import fits_broadcast, materialize
 
 FOLD_ROWS = 10_000
-FOLD_SWEEPS = 1_000
-JOIN_SWEEPS = 6
+FOLD_BLOCKS = 160
+# Sweeps between two looks at how far the values have moved, in either form.
+BLOCK = 6
 ULP = 2.0**-52
 
 
@@ -77,7 +80,8 @@ def _pack(priced: DataFrame, start: DataFrame, by: Sequence[str]) -> DataFrame:
     placed = start.withColumn("at", (F.row_number().over(order) - 1).cast("int"))
     ahead = placed.select(*by, F.col("CLUSTER").alias("NEXT_CLUSTER"), "at")
     moves = (
-        priced.join(ahead, [*by, "NEXT_CLUSTER"])
+        priced.join(ahead, [*by, "NEXT_CLUSTER"], "left")
+        .withColumn("at", required("at", "no value for state ", "NEXT_CLUSTER"))
         .groupBy(*by, "CLUSTER", "ACTION")
         .agg(
             F.max("RISK").alias("risk"),
@@ -94,8 +98,8 @@ def _pack(priced: DataFrame, start: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _fold_sweeps(packed: DataFrame, gamma: float, epsilon: float, count: int) -> DataFrame:
-    """Up to ``count`` sweeps of every process, stopping where its values settle."""
+def _fold_sweeps(packed: DataFrame, gamma: float, epsilon: float, blocks: int) -> DataFrame:
+    """Up to so many blocks of sweeps of every process, stopping where its values settle."""
 
     def action_value(action, v):
         ahead = F.aggregate(
@@ -107,27 +111,31 @@ def _fold_sweeps(packed: DataFrame, gamma: float, epsilon: float, count: int) ->
         better = F.array_min(F.transform(state["actions"], lambda a: action_value(a, v)))
         return F.when(state["fixed"], state["v"]).otherwise(better)
 
-    def once(at, _):
+    def once(at, number):
         v = F.transform("states", lambda s: state_value(s, at["v"]))
+        looks = number % BLOCK == 0
         still = F.forall(
-            F.zip_with(v, at["v"], lambda new, old: _settled(F.abs(new - old), new, epsilon)),
+            F.zip_with(v, at["before"], lambda new, old: _settled(F.abs(new - old), new, epsilon)),
             lambda ok: ok,
         )
         return F.when(at["settled"], at).otherwise(
-            F.struct(v.alias("v"), still.alias("settled"))
+            F.struct(
+                v.alias("v"),
+                F.when(looks, v).otherwise(at["before"]).alias("before"),
+                (looks & still).alias("settled"),
+            )
         )
 
-    begin = F.struct(
-        F.transform("states", lambda s: s["v"]).alias("v"), F.lit(False).alias("settled")
-    )
-    after = F.aggregate(F.sequence(F.lit(1), F.lit(count)), begin, once)
+    start = F.transform("states", lambda s: s["v"])
+    begin = F.struct(start.alias("v"), start.alias("before"), F.lit(False).alias("settled"))
+    after = F.aggregate(F.sequence(F.lit(1), F.lit(blocks * BLOCK)), begin, once)
     return packed.withColumn("after", after)
 
 
 def _solve_folded(priced, start, gamma, epsilon, by):
     packed = _pack(priced, start, by)
     while True:
-        swept = materialize(_fold_sweeps(packed, gamma, epsilon, FOLD_SWEEPS))
+        swept = materialize(_fold_sweeps(packed, gamma, epsilon, FOLD_BLOCKS))
         if swept.where("NOT after.settled").isEmpty():
             break
         renewed = F.zip_with("states", "after.v", lambda s, v: s.withField("v", v))
@@ -137,13 +145,16 @@ def _solve_folded(priced, start, gamma, epsilon, by):
 
 
 def _solve_joined(priced, start, gamma, epsilon, by, broadcast_limit):
-    """Sweeps as joins: P stays partitioned by state, only V moves."""
+    """Sweeps as joins: P stays partitioned by state, only V moves.
+
+    A process whose values have settled leaves, so each stops where it would stop alone.
+    """
     small = fits_broadcast(start, width=2 + len(by), **broadcast_limit)
     partitioned = priced.repartition(*by, "CLUSTER")
-    before = start
+    before, settled = start, []
     while True:
         after = before
-        for _ in range(JOIN_SWEEPS):
+        for _ in range(BLOCK):
             after = sweep(partitioned, after, gamma, by, fixed=start, small=small)
         old = before.select(*by, "CLUSTER", F.col("v").alias("old"))
         moved = F.abs(F.col("v") - F.col("old"))
@@ -153,8 +164,15 @@ def _solve_joined(priced, start, gamma, epsilon, by, broadcast_limit):
             )
         )
         before = after.select(*by, "CLUSTER", "v", "fixed")
+        moving = after.where("NOT settled").select(*by).distinct() if by else None
         if after.where("NOT settled").isEmpty():
-            return before.select(*by, "CLUSTER", "v")
+            return reduce(DataFrame.union, settled, before.select(*by, "CLUSTER", "v"))
+        if by:
+            moving = materialize(moving)
+            settled.append(before.join(moving, list(by), "left_anti").select(*by, "CLUSTER", "v"))
+            before, start, partitioned = (
+                x.join(moving, list(by), "left_semi") for x in (before, start, partitioned)
+            )
 
 
 def solve_policy(
@@ -166,11 +184,17 @@ def solve_policy(
     fold_rows: int = FOLD_ROWS,
     broadcast_limit: int | None = None,
 ) -> Solution:
-    """The minimum-risk policy, Q and V, swept until no value moves by ``epsilon``."""
+    """The minimum-risk policy, Q and V.
+
+    Each process is swept until, over a block of ``BLOCK`` sweeps, no value moves by
+    ``epsilon`` or by what double precision resolves. ``gamma`` below 1 makes that certain.
+    """
+    if not 0 <= gamma < 1:
+        raise ValueError(f"gamma must be at least 0 and below 1, not {gamma}")
     priced = materialize(attach_reward(transitions, rewards, by))
     start = materialize(initial_values(transitions, rewards, by))
-    largest = priced.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= fold_rows:
+    sizes = [t.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for t in (priced, start)]
+    if max(sizes) <= fold_rows:
         values = _solve_folded(priced, start, gamma, epsilon, by)
     else:
         limit = {} if broadcast_limit is None else {"limit": broadcast_limit}

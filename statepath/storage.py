@@ -7,6 +7,7 @@ and true size statistics.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
@@ -27,7 +28,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not context.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", context.master) is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="statepath-")
     context.setCheckpointDir(named)

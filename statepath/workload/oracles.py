@@ -666,6 +666,21 @@ oracle(
      UNION ALL SELECT CLUSTER, END_STATE, prob, ACTION FROM absorbed_after) a
     LEFT JOIN dim d ON a.END_STATE = d.END_INDEX""",
 )
+oracle(
+    "check_step_keys",
+    """SELECT problem, CAST(n_rows AS BIGINT) AS n_rows FROM (
+      WITH odd AS (
+        SELECT CASE WHEN k % 13 <> 0 THEN ID END AS ID, CASE WHEN k % 11 <> 0 THEN TIME - 3 END AS TIME,
+        k % 5 = 0 OR RISK IS NULL AS no_state, k FROM raw_steps
+      ), doubled AS (SELECT * FROM odd UNION ALL SELECT * FROM odd WHERE k % 7 = 0
+      ), counted AS (SELECT *, count(*) OVER (PARTITION BY ID, TIME) AS n FROM doubled)
+      SELECT 'no subject' AS problem, count(*) FILTER (ID IS NULL) AS n_rows FROM counted
+      UNION ALL SELECT 'no time', count(*) FILTER (TIME IS NULL) FROM counted
+      UNION ALL SELECT 'negative time', count(*) FILTER (TIME < 0) FROM counted
+      UNION ALL SELECT 'repeated key', count(*) FILTER (ID IS NOT NULL AND TIME IS NOT NULL AND n > 1)
+        FROM counted
+      UNION ALL SELECT 'no given state', count(*) FILTER (no_state) FROM counted)""",
+)
 oracle(
     "check_row_sums",
     """SELECT r.CLUSTER, CAST(0 AS DOUBLE) AS total FROM r WHERE r.CLUSTER = 0

@@ -888,6 +888,20 @@ def absorption_report(spark, sf):
 # ---------------------------------------------------------------- quality
 
 
+@query
+def check_step_keys(spark, sf):
+    """All steps, with every seventh repeated, some times and states missing."""
+    steps = given_states(event_steps(spark, sf))
+    odd = steps.withColumns(
+        {
+            "TIME": F.when(F.col("k") % 11 != 0, F.col("TIME") - 3),
+            "CLUSTER": F.when(F.col("k") % 5 != 0, F.col("CLUSTER")),
+            "ID": F.when(F.col("k") % 13 != 0, F.col("ID")),
+        }
+    )
+    return quality.check_step_keys(odd.unionByName(odd.where("k % 7 = 0")))
+
+
 @query
 def check_row_sums(spark, sf):
     """State 0 loses its policy action, so its row is reported."""
