@@ -21,7 +21,7 @@ from statepath.storage import materialize
 # Text bytes a task works on at once; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 # Bytes of an Arrow batch that Spark hands to a task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 # A key counts as hot if it owns more than 1 / HOT_KEYS of the rows, so that there are
 # fewer hot keys than this and their groups can be broadcast.
 HOT_KEYS = 1_000
@@ -81,11 +81,13 @@ def add_columns(
     results: dict[str, str],
     text: str,
     without: tuple[str, ...] = (),
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from slices of its Arrow batches, row by row in order.
 
     ``results`` maps new columns to their types. A column of ``df`` that has the name of a
-    result is replaced; columns in ``without`` are read but not returned.
+    result is replaced; columns in ``without`` are read but not returned. ``finish`` runs
+    at the end of a task, to let go of what it remembered: Python workers outlive tasks.
     """
     if text.lower() in {c.lower() for c in results}:
         raise ValueError(f"{text} is a result; rename the input")
@@ -103,6 +105,8 @@ def add_columns(
                     [*[piece.column(c) for c in kept], *[found[c] for c in results]],
                     names=[*kept, *results],
                 )
+        if finish is not None:
+            finish()
 
     return df.mapInArrow(run, schema)
 

@@ -30,8 +30,8 @@ from statepath.llm.common import add_columns
 from statepath.llm.token_counts import PairTable
 
 MARK = "▁"
-# Words whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED = 500_000
+# Words whose ids a task remembers, and the longest that it remembers.
+REMEMBERED = 200_000
 REMEMBERED_LENGTH = 64
 # Longest word whose agenda is a row of an array.
 SHORT = 48
@@ -252,6 +252,10 @@ def encode_batch(texts: list[str], path: str, end: bool = True, check: bool = Tr
     return found
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def encode(
     docs: DataFrame,
     path: str,
@@ -274,7 +278,8 @@ def encode(
         values = np.concatenate(found) if found else np.zeros(0, np.int32)
         return {result: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
-    return add_columns(docs, run, {result: "array<int>"}, text, () if keep_text else (text,))
+    without = () if keep_text else (text,)
+    return add_columns(docs, run, {result: "array<int>"}, text, without, forget)
 
 
 def decode(

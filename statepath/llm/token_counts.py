@@ -25,8 +25,8 @@ from statepath.llm.common import add_columns
 
 # Fixed value: how byte-level BPE cuts a text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pre-tokens whose counts a worker remembers, and the longest that it remembers.
-REMEMBERED = 500_000
+# Pre-tokens whose counts a task remembers, and the longest that it remembers.
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 64
 # Bytes of pre-tokens that are merged at once.
 MERGED_BYTES = 4 << 20
@@ -211,6 +211,10 @@ def count_batch(texts: list[str], path: str) -> list[int]:
     return totals
 
 
+def forget() -> None:
+    _counts.clear()
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", result: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each text; null and empty texts have none.
 
@@ -222,4 +226,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", result: str = "
         texts = [t or "" for t in piece.column(text).to_pylist()]
         return {result: pa.array(count_batch(texts, path), pa.int64())}
 
-    return add_columns(docs, count, {result: "long"}, text)
+    return add_columns(docs, count, {result: "long"}, text, finish=forget)

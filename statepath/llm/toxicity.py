@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from statepath.llm.common import Powers, SpanHash, add_columns, bounded_sample, mix, utf8, words_of
 
 # Labelled documents that are learned from, for each label.
-LEARN_TOXIC = 1_500
-LEARN_CLEAN = 4_500
+LEARN_TOXIC = 1_000
+LEARN_CLEAN = 3_500
 # Clean documents among them whose words train the field.
-TRAIN_CLEAN = 1_500
+TRAIN_CLEAN = 1_000
 SEGMENT = 64
 FEATURE_BITS = 21
 FEATURES = 1 << FEATURE_BITS
