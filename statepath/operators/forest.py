@@ -175,7 +175,7 @@ def surrogate_tree(steps: DataFrame, features: Sequence[str], depth: int = 4) ->
 
 
 def _tree_inputs(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_features")
+    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
 
 
 def _tree_rows(steps: DataFrame, features: Sequence[str]) -> DataFrame:

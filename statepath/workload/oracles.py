@@ -28,7 +28,7 @@ def sql(body: str) -> str:
         needed.add(name)
         queue |= _mentioned(PARTS[name], names) - needed
     listed = [PARTS[name] for name in names if name in needed]
-    return f"WITH RECURSIVE {', '.join(listed)} {body}"
+    return f"WITH RECURSIVE {', '.join(listed)} {body}" if listed else body
 
 
 def by_case(column: str, codes: dict) -> str:
@@ -318,8 +318,10 @@ oracle(
 )
 oracle(
     "sink_model",
-    """SELECT count(*) AS n_rows, 'steps' AS name FROM labelled
-    UNION ALL SELECT count(*), 'transitions' FROM p UNION ALL SELECT count(*), 'rewards' FROM r""",
+    """SELECT 'steps' AS name, ID, TIME, CLUSTER, ACTION, NEXT_CLUSTER, CAST(RISK AS DOUBLE) AS value
+    FROM labelled UNION ALL
+    SELECT 'transitions', NULL, NULL, CLUSTER, ACTION, NEXT_CLUSTER, round(prob, 6) FROM p UNION ALL
+    SELECT 'rewards', NULL, NULL, CLUSTER, NULL, NULL, round(RISK, 6) FROM r""",
 )
 oracle(
     "clean_steps",
@@ -329,7 +331,7 @@ oracle("cast_keys", "SELECT ID, TIME, ACTION, CLUSTER FROM steps")
 oracle("combine_risk", "SELECT ID, TIME, CAST(total_sofa + RISK AS INT) AS RISK FROM raw_steps")
 oracle("infer_features", "SELECT ID, TIME, k, value, total_sofa FROM labelled")
 oracle("select_existing", "SELECT ID, TIME, value, k, ACTION, RISK, CLUSTER FROM steps")
-oracle("drop_working", "SELECT * FROM labelled WHERE CLUSTER = 1")
+oracle("drop_working", "SELECT * FROM labelled")
 oracle("rename_features", 'SELECT ID, TIME, total_sofa AS "Total SOFA" FROM raw_steps')
 MISSING = [
     "MAP", "Systolic BP", "Diastolic BP", "Heart rate (pulse)", "Respiratory rate",
@@ -358,16 +360,14 @@ oracle(
 )
 oracle(
     "labelled_only",
-    """SELECT l.ID, l.TIME,
-    CAST(CASE WHEN l.NEXT_CLUSTER > 3 THEN l.NEXT_CLUSTER - 1 ELSE l.NEXT_CLUSTER END AS INT)
-    AS NEXT_CLUSTER FROM labelled l JOIN ends e ON l.ID = e.ID
-    WHERE NOT (e.end_state = 'BUILDING' AND l.NEXT_CLUSTER > 2)""",
+    """SELECT ID, TIME, NEXT_CLUSTER FROM labelled WHERE NEXT_CLUSTER IS NOT NULL UNION ALL
+    SELECT 'x' || ID, TIME, NEXT_CLUSTER FROM labelled WHERE NEXT_CLUSTER <= 2""",
 )
 oracle("state_action_slice", "SELECT * FROM steps WHERE CLUSTER = 1 AND ACTION = 2")
 oracle("state_other_actions", "SELECT * FROM steps WHERE CLUSTER = 1 AND ACTION <> 2")
 oracle("state_rest", "SELECT * FROM steps WHERE CLUSTER <> 1")
 oracle(
-    "start_states", "SELECT ID, arg_min(CLUSTER, TIME) AS CLUSTER FROM steps WHERE TIME >= 3 GROUP BY 1"
+    "start_states", "SELECT ID, arg_min(CLUSTER, TIME) AS CLUSTER FROM steps GROUP BY 1"
 )
 oracle(
     "conditional_relabel",
@@ -571,8 +571,8 @@ oracle(
 )
 oracle(
     "renormalise",
-    """SELECT CLUSTER, ACTION, NEXT_CLUSTER, round(prob / sum(prob) OVER
-    (PARTITION BY CLUSTER, ACTION), 6) AS prob FROM p WHERE NEXT_CLUSTER <> 0""",
+    """SELECT CLUSTER, ACTION, NEXT_CLUSTER, round(prob * (NEXT_CLUSTER + 1) /
+    sum(prob * (NEXT_CLUSTER + 1)) OVER (PARTITION BY CLUSTER, ACTION), 6) AS prob FROM p""",
 )
 oracle(
     "expand_grid",
@@ -589,12 +589,12 @@ oracle(
     + ", ".join(
         f"round(max(CASE WHEN NEXT_CLUSTER = {i} THEN prob END), 6) AS to_{i}" for i in range(8)
     )
-    + " FROM p WHERE ACTION = 0 GROUP BY CLUSTER",
+    + " FROM p GROUP BY CLUSTER",
 )
 oracle(
     "assemble",
     f"""SELECT ID, TIME, CAST(k AS DOUBLE) AS first, value AS second FROM spoiled
-    WHERE {VALID} AND ID IS NOT NULL""",
+    WHERE {VALID}""",
 )
 oracle(
     "accept_split",
@@ -719,3 +719,48 @@ oracle(
     "check_action_row",
     "SELECT DISTINCT CLUSTER, CAST(9 AS INT) AS ACTION, CAST(0 AS DOUBLE) AS total FROM p",
 )
+
+# ---------------------------------------------------------------- learning with forced answers
+
+SOFA = "CASE WHEN k % 7 <> 0 THEN total_sofa END"
+oracle(
+    "initial_states",
+    """SELECT count(*) AS n_rows, CAST(3 AS INT) AS n_states, true AS ordered FROM steps
+    WHERE RISK IS NOT NULL""",
+)
+oracle("next_state_classifier", f"SELECT ID, TIME, {SOFA} AS prediction FROM raw_steps")
+oracle(
+    "next_state_distribution",
+    """SELECT ID, TIME, CASE WHEN k % 7 <> 0 THEN (SELECT CAST(max(NEXT_CLUSTER) + 1 AS INT)
+    FROM labelled WHERE k % 7 <> 0) END AS n_entries,
+    CASE WHEN k % 7 <> 0 THEN true END AS is_whole FROM labelled""",
+)
+oracle("split_state", "SELECT ID, TIME, CAST(total_sofa >= 2 AS INT) AS SUB FROM steps")
+oracle("extend_split", "SELECT ID, TIME, ACTION, CAST(total_sofa >= 2 AS INT) AS SUB FROM steps")
+oracle(
+    "refine_states",
+    """SELECT count(*) AS n_rows, true AS states_are_dense, true AS states_in_range,
+    true AS rows_sum_to_1 FROM steps""",
+)
+oracle("forest_fit", f"SELECT {SOFA} AS prediction, count(*) AS cnt FROM raw_steps GROUP BY 1")
+oracle("forest_predict", f"SELECT ID, TIME, {SOFA} AS prediction FROM raw_steps")
+oracle(
+    "forest_predict_proba",
+    f"""SELECT ID, TIME, CAST(c AS INT) AS class, CAST(c = s AS DOUBLE) AS p FROM
+    (SELECT ID, TIME, {SOFA} AS s FROM raw_steps) JOIN range(4) t(c) ON s IS NOT NULL
+    UNION ALL SELECT ID, TIME, NULL, NULL FROM raw_steps WHERE {SOFA} IS NULL""",
+)
+oracle(
+    "surrogate_tree",
+    f"SELECT {SOFA} AS CLUSTER, {SOFA} AS prediction, count(*) AS cnt FROM raw_steps GROUP BY 1",
+)
+oracle(
+    "grid_search",
+    """SELECT CAST(unnest([3, 4]) AS INT) AS max_depth, CAST(1 AS DOUBLE) AS mean_accuracy,
+    CAST(0 AS DOUBLE) AS std_accuracy""",
+)
+oracle(
+    "tree_rules",
+    """SELECT 'total_sofa ' || unnest(['<= 0.5', '> 0.5', '<= 1.5', '> 1.5', '<= 2.5', '> 2.5'])
+    AS condition""",
+)

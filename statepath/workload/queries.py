@@ -192,12 +192,16 @@ def scan_model(spark, sf):
 
 @query
 def sink_model(spark, sf):
+    """All rows of the written tables; ``value`` is the RISK, the prob or the mean RISK."""
     model = stored_model(spark, sf)
-    sizes = [
-        table.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(name))
-        for name, table in model._asdict().items()
-    ]
-    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+    values = {"steps": "RISK", "transitions": "prob", "rewards": "RISK"}
+    written = None
+    for name, table in model._asdict().items():
+        value = F.round(F.col(values[name]).cast("double"), 6).alias("value")
+        keys = [c for c in ("ID", "TIME", "CLUSTER", "ACTION", "NEXT_CLUSTER") if c in table.columns]
+        rows = table.select(F.lit(name).alias("name"), *keys, value)
+        written = rows if written is None else written.unionByName(rows, allowMissingColumns=True)
+    return written
 
 
 # ---------------------------------------------------------------- preparation
@@ -235,7 +239,8 @@ def select_existing(spark, sf):
 
 @query
 def drop_working(spark, sf):
-    return prepare.drop_working(halved_rows(spark, sf), ["prob", "SUB"])
+    rows = vector_rows(spark, sf).withColumn("SUB", (F.col("k") >= 50).cast("int"))
+    return prepare.drop_working(rows, ["prob", "SUB"])
 
 
 @query
@@ -260,8 +265,10 @@ def count_invalid(spark, sf):
 
 @query
 def labelled_only(spark, sf):
-    ends = event_end_states(spark, sf).where("end_state <> 'BUILDING'")
-    steps = transitions.next_state(materialize(base_steps(spark, sf)), ends)
+    """All steps, and again as those of subjects without an end state."""
+    base, ends = written_inputs(spark, sf)
+    endless = base.withColumn("ID", F.concat(F.lit("x"), "ID"))
+    steps = transitions.next_state(materialize(base.unionByName(endless)), ends)
     return prepare.labelled_only(steps).select("ID", "TIME", "NEXT_CLUSTER")
 
 
@@ -282,7 +289,7 @@ def state_rest(spark, sf):
 
 @query
 def start_states(spark, sf):
-    return prepare.start_states(base_steps(spark, sf).where("TIME >= 3"))
+    return prepare.start_states(base_steps(spark, sf))
 
 
 @query
@@ -633,7 +640,8 @@ def portable_uniform_query(spark, sf):
 
 @query
 def renormalise(spark, sf):
-    p = model_tables(spark, sf)[0].where("NEXT_CLUSTER <> 0")
+    """P with weights that no longer sum to 1."""
+    p = model_tables(spark, sf)[0].withColumn("prob", F.col("prob") * (F.col("NEXT_CLUSTER") + 1))
     return rounded(decision.renormalise(p), "prob")
 
 
@@ -645,7 +653,7 @@ def expand_grid(spark, sf):
 
 @query
 def wide_matrix(spark, sf):
-    p = model_tables(spark, sf)[0].where("ACTION = 0")
+    p = model_tables(spark, sf)[0]
     wide = profile.wide_matrix(p, "CLUSTER", "NEXT_CLUSTER", "prob", range(8), "to_")
     return rounded(wide, *[f"to_{i}" for i in range(8)])
 
@@ -657,13 +665,13 @@ def wide_matrix(spark, sf):
 def assemble(spark, sf):
     rows = forest.assemble(spoiled_steps(spark, sf), ["k", "value"])
     entries = forest.vector_to_array("features")
-    return rows.where("ID IS NOT NULL").select(
+    return rows.select(
         "ID", "TIME", entries[0].alias("first"), entries[1].alias("second")
     )
 
 
 @query
-def initial_states(spark, sf):
+def initial_states_events(spark, sf):
     steps = prepare_steps(event_steps(spark, sf), CONFIG)
     return forest.initial_states(steps, 3).select("ID", "TIME", "RISK", "CLUSTER")
 
@@ -674,13 +682,13 @@ def fitted(spark: SparkSession, sf: str):
 
 
 @query
-def next_state_classifier(spark, sf):
+def next_state_classifier_events(spark, sf):
     steps, model = fitted(spark, sf)
     return forest.forest_predict(model, steps).select("ID", "TIME", "prediction")
 
 
 @query
-def next_state_distribution(spark, sf):
+def next_state_distribution_events(spark, sf):
     steps, model = fitted(spark, sf)
     return forest.next_state_distribution(model, steps).select("ID", "TIME", "prob")
 
@@ -692,12 +700,12 @@ def split_rows(spark: SparkSession, sf: str):
 
 
 @query
-def split_state(spark, sf):
+def split_state_events(spark, sf):
     return split_rows(spark, sf)[0].select("ID", "TIME", "NEXT_CLUSTER", "SUB")
 
 
 @query
-def extend_split(spark, sf):
+def extend_split_events(spark, sf):
     halves, others = split_rows(spark, sf)
     extended = forest.extend_split(halves, others, FEATURES, VECTOR_SIZE)
     return extended.select("ID", "TIME", "ACTION", "SUB")
@@ -718,37 +726,37 @@ def apply_split_query(spark, sf):
 
 
 @query
-def refine_states_query(spark, sf):
+def refine_states_events(spark, sf):
     trained = refine_states(event_steps(spark, sf), event_end_states(spark, sf), CONFIG)
     return trained.log
 
 
 def wrapped_forest(spark: SparkSession, sf: str):
-    rows = materialize(spoiled_steps(spark, sf).where("ID IS NOT NULL"))
+    rows = materialize(spoiled_steps(spark, sf))
     return rows, forest.forest_fit(rows, ["k", "value", "total_sofa"], "ACTION", 20, 5)
 
 
 @query
-def forest_fit(spark, sf):
+def forest_fit_events(spark, sf):
     """Rows predicted per class by a fitted forest."""
     rows, model = wrapped_forest(spark, sf)
     return forest.forest_predict(model, rows).groupBy("prediction").agg(F.count("*").alias("cnt"))
 
 
 @query
-def forest_predict(spark, sf):
+def forest_predict_events(spark, sf):
     rows, model = wrapped_forest(spark, sf)
     return forest.forest_predict(model, rows).select("ID", "TIME", "prediction")
 
 
 @query
-def forest_predict_proba(spark, sf):
+def forest_predict_proba_events(spark, sf):
     rows, model = wrapped_forest(spark, sf)
     return forest.forest_predict_proba(model, rows).select("ID", "TIME", "prob")
 
 
 @query
-def surrogate_tree(spark, sf):
+def surrogate_tree_events(spark, sf):
     steps = materialize(base_steps(spark, sf))
     model = forest.surrogate_tree(steps, FEATURES)
     predicted = forest.forest_predict(model, steps)
@@ -756,16 +764,156 @@ def surrogate_tree(spark, sf):
 
 
 @query
-def grid_search(spark, sf):
+def grid_search_events(spark, sf):
     return forest.grid_search(materialize(base_steps(spark, sf)), FEATURES)[1]
 
 
 @query
-def tree_rules(spark, sf):
+def tree_rules_events(spark, sf):
     steps = materialize(base_steps(spark, sf))
     return forest.tree_rules(forest.surrogate_tree(steps, FEATURES), steps)
 
 
+# Learning queries whose answer is forced: what is to be learned is a function of a
+# feature with four values, so SQL can state it.
+
+
+def sofa_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """All steps, every seventh without total_sofa."""
+    known = F.when(F.col("k") % 7 != 0, F.col("total_sofa"))
+    return materialize(event_steps(spark, sf).withColumns({"total_sofa": known, "CLASS": known}))
+
+
+@query
+def initial_states(spark, sf):
+    """Rows, states, and whether states are ordered and apart in RISK."""
+    steps = prepare_steps(event_steps(spark, sf), CONFIG)
+    ranges = forest.initial_states(steps, 3).groupBy("CLUSTER").agg(
+        F.count(F.lit(1)).alias("n"), F.min("RISK").alias("low"), F.max("RISK").alias("high")
+    )
+    listed = F.array_sort(F.collect_list(F.struct("CLUSTER", "low", "high")))
+    places = F.sequence(F.lit(0), F.size("states") - 2)
+    apart = F.forall(
+        places, lambda i: F.get("states", i)["high"] < F.get("states", i + 1)["low"]
+    )
+    return ranges.agg(F.sum("n").alias("n_rows"), listed.alias("states")).select(
+        "n_rows", F.size("states").alias("n_states"), apart.alias("ordered")
+    )
+
+
+@query
+def next_state_classifier(spark, sf):
+    steps = sofa_steps(spark, sf).withColumn("NEXT_CLUSTER", F.col("CLASS"))
+    model = forest.next_state_classifier(steps, ["total_sofa"], 20, 5)
+    return forest.forest_predict(model, steps).select("ID", "TIME", "prediction")
+
+
+@query
+def next_state_distribution(spark, sf):
+    """For each row the number of entries and whether they sum to 1; null if it has none."""
+    steps = labelled_steps(spark, sf).withColumn("k", F.when(F.col("k") % 7 != 0, F.col("k")))
+    steps = materialize(steps)
+    model = forest.next_state_classifier(steps, FEATURES, 20, 5)
+    total = F.aggregate("prob", F.lit(0.0), lambda acc, p: acc + p)
+    return forest.next_state_distribution(model, steps).select(
+        "ID", "TIME", F.nullif(F.size("prob"), F.lit(-1)).alias("n_entries"),
+        (F.abs(total - 1) < 1e-9).alias("is_whole"),
+    )
+
+
+def separable_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All steps; those of high total_sofa lead elsewhere, with other probabilities."""
+    high = F.col("total_sofa") >= 2
+    return materialize(
+        base_steps(spark, sf).withColumns(
+            {
+                "NEXT_CLUSTER": F.when(high, 1).otherwise(0),
+                "prob": F.when(high, F.array(F.lit(0.0), F.lit(1.0))).otherwise(
+                    F.array(F.lit(1.0), F.lit(0.0))
+                ),
+            }
+        )
+    )
+
+
+@query
+def split_state(spark, sf):
+    return forest.split_state(separable_rows(spark, sf), 2).select("ID", "TIME", "SUB")
+
+
+@query
+def extend_split(spark, sf):
+    rows = separable_rows(spark, sf)
+    halves = forest.split_state(rows.where("ACTION = 2"), 2)
+    extended = forest.extend_split(halves, rows.where("ACTION <> 2"), ["total_sofa"], 2)
+    return extended.select("ID", "TIME", "ACTION", "SUB")
+
+
+@query
+def refine_states_query(spark, sf):
+    """What the log and the tables of a refinement must satisfy."""
+    trained = refine_states(event_steps(spark, sf), event_end_states(spark, sf), CONFIG)
+    steps = trained.steps.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.max("CLUSTER") + 1 == F.countDistinct("CLUSTER")).alias("states_are_dense"),
+        F.countDistinct("CLUSTER").between(CONFIG.initial_states, CONFIG.max_states).alias("states_in_range"),
+    )
+    sums = trained.transitions.groupBy("CLUSTER", "ACTION").agg(F.sum("prob").alias("total"))
+    whole = sums.agg(F.bool_and(F.abs(F.col("total") - 1) < 1e-9).alias("rows_sum_to_1"))
+    return steps.join(F.broadcast(whole))
+
+
+def sofa_forest(spark: SparkSession, sf: str):
+    rows = sofa_steps(spark, sf)
+    return rows, forest.forest_fit(rows, ["total_sofa"], "CLASS", 20, 5)
+
+
+@query
+def forest_fit(spark, sf):
+    rows, model = sofa_forest(spark, sf)
+    return forest.forest_predict(model, rows).groupBy("prediction").agg(F.count("*").alias("cnt"))
+
+
+@query
+def forest_predict(spark, sf):
+    rows, model = sofa_forest(spark, sf)
+    return forest.forest_predict(model, rows).select("ID", "TIME", "prediction")
+
+
+@query
+def forest_predict_proba(spark, sf):
+    rows, model = sofa_forest(spark, sf)
+    scored = forest.forest_predict_proba(model, rows)
+    return scored.select("ID", "TIME", F.inline_outer(F.arrays_zip(
+        F.transform("prob", lambda _, i: i).alias("class"), F.transform("prob", lambda p: F.round(p, 6)).alias("p")
+    )))
+
+
+def sofa_states(spark: SparkSession, sf: str) -> DataFrame:
+    return sofa_steps(spark, sf).withColumn("CLUSTER", F.col("CLASS"))
+
+
+@query
+def surrogate_tree(spark, sf):
+    steps = sofa_states(spark, sf)
+    predicted = forest.forest_predict(forest.surrogate_tree(steps, ["total_sofa"]), steps)
+    return predicted.groupBy("CLUSTER", "prediction").agg(F.count("*").alias("cnt"))
+
+
+@query
+def grid_search(spark, sf):
+    return forest.grid_search(sofa_states(spark, sf), ["total_sofa"], depths=[3, 4])[1].drop("best")
+
+
+@query
+def tree_rules(spark, sf):
+    """The different conditions of the rules."""
+    steps = sofa_states(spark, sf)
+    rules = forest.tree_rules(forest.surrogate_tree(steps, ["total_sofa"]), steps)
+    condition = F.regexp_extract("rule", r"\((total_sofa (?:<=|>) [0-9.]+)\)", 1)
+    return rules.select(condition.alias("condition")).where("condition <> ''").distinct()
+
+
 # ---------------------------------------------------------------- decision process
 
 
