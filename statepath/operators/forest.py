@@ -74,8 +74,15 @@ def forest_fit(
         ),
     ]
     known = skip_invalid(rows, [*features, label])
-    labelled = known.select(*features, F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=stages).fit(labelled)
+    return Pipeline(stages=stages).fit(known.select(*features, _nominal(known, label)))
+
+
+def _nominal(rows: DataFrame, label: str) -> Column:
+    """The label with its number of classes, as otherwise 100 are the most."""
+    highest = rows.agg(F.max(label)).first()[0]
+    classes = {} if highest is None else {"num_vals": int(highest) + 1}
+    attribute = {"ml_attr": {"name": "_label", "type": "nominal", **classes}}
+    return F.col(label).cast("double").alias("_label", metadata=attribute)
 
 
 def class_count(model: PipelineModel) -> int:
@@ -180,7 +187,7 @@ def _tree_inputs(features: Sequence[str]) -> VectorAssembler:
 
 def _tree_rows(steps: DataFrame, features: Sequence[str]) -> DataFrame:
     known = skip_invalid(steps, [*features, "CLUSTER"])
-    return known.select(*features, F.col("CLUSTER").cast("double").alias("_label"))
+    return known.select(*features, _nominal(known, "CLUSTER"))
 
 
 def grid_search(

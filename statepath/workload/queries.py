@@ -136,7 +136,7 @@ def solved_matrix(spark: SparkSession, sf: str):
     steps, ends = written_inputs(spark, sf)
     p, r = model_of(steps, ends)
     absorbing = materialize(decision.terminal_states(dimension_of(steps, ends)))
-    policy = solve_policy(p, r).policy
+    policy = solve_policy(p, r, CONFIG.gamma, CONFIG.epsilon).policy
     return p, absorbing, decision.policy_matrix(p, policy, absorbing)
 
 
@@ -366,7 +366,7 @@ def join_truth(spark, sf):
 @query
 def policy_transitions(spark, sf):
     p, r = model_tables(spark, sf)
-    return rounded(decision.policy_transitions(p, solve_policy(p, r).policy), "prob")
+    return rounded(decision.policy_transitions(p, solve_policy(p, r, CONFIG.gamma, CONFIG.epsilon).policy), "prob")
 
 
 # ---------------------------------------------------------------- aggregations
@@ -963,15 +963,21 @@ def rolled(spark: SparkSession, sf: str, max_steps: int) -> DataFrame:
     steps, ends = written_inputs(spark, sf)
     p, r = model_of(steps, ends)
     absorbing = materialize(decision.terminal_states(dimension_of(steps, ends)))
-    policy = solve_policy(p, r).policy
+    policy = solve_policy(p, r, CONFIG.gamma, CONFIG.epsilon).policy
     return policy_rollout(
-        prepare.start_states(steps), p, policy, absorbing, max_steps=max_steps
+        prepare.start_states(steps),
+        p,
+        policy,
+        absorbing,
+        max_steps,
+        CONFIG.rollout_seed,
+        CONFIG.steps_per_job,
     )
 
 
 @query
 def policy_rollout_query(spark, sf):
-    return rolled(spark, sf, 5_000)
+    return rolled(spark, sf, CONFIG.max_steps)
 
 
 @query
@@ -1056,7 +1062,7 @@ def check_row_sums(spark, sf):
     steps, ends = written_inputs(spark, sf)
     p, r = model_of(steps, ends)
     absorbing = decision.terminal_states(dimension_of(steps, ends))
-    policy = solve_policy(p, r).policy.where("CLUSTER <> 0")
+    policy = solve_policy(p, r, CONFIG.gamma, CONFIG.epsilon).policy.where("CLUSTER <> 0")
     return quality.check_row_sums(decision.policy_matrix(p, policy, absorbing), r)
 
 

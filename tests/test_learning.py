@@ -135,3 +135,12 @@ def test_surrogate_tree_and_rules(steps):
     assert any(name in rule for rule in rules for name in FEATURES)
     assert not any("feature " in rule for rule in rules)
     assert any(rule.startswith("Predict") for rule in rules)
+
+
+def test_more_than_a_hundred_classes(spark):
+    data = spark.range(2_400).select((F.col("id") % 120).cast("int").alias("x"))
+    rows_ = materialize(data.withColumn("y", F.col("x")))
+    model = forest.forest_fit(rows_, ["x"], "y", 3, 10)
+    assert forest.class_count(model) == 120
+    tree = forest.surrogate_tree(rows_.withColumn("CLUSTER", F.col("x")), ["x"], 10)
+    assert forest.forest_predict(tree, rows_).where("prediction is null").isEmpty()
