@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from statepath.storage import materialize
 
 # Text bytes a task works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 # Bytes of an Arrow batch that Spark hands to a task.
 BATCH_BYTES = 8 << 20
 # A key counts as hot if it owns more than 1 / HOT_KEYS of the rows, so that there are
@@ -148,7 +148,7 @@ class Powers:
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._tables[0]) < n:
             for i, base in enumerate(self._bases):
-                steps = np.full(2 * n, base, np.uint64)
+                steps = np.full(n + n // 8, base, np.uint64)
                 steps[0] = 1
                 self._tables[i] = np.cumprod(steps, dtype=np.uint64)
         return self._tables[0][:n], self._tables[1][:n]

@@ -289,7 +289,13 @@ def decode(
 
     def run(piece: pa.RecordBatch) -> dict:
         library = Vocabulary.load(path).library
-        texts = [library.decode(own or []) for own in piece.column(ids).to_pylist()]
+        column = piece.column(ids)
+        values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        texts = [
+            library.decode(values[low:high].tolist()) if valid else ""
+            for low, high, valid in zip(offsets[:-1], offsets[1:], known)
+        ]
         return {result: pa.array(texts, pa.string())}
 
     return add_columns(encoded, run, {result: "string"}, ids, () if keep_ids else (ids,))
