@@ -12,10 +12,9 @@ half differs in at most one bit, and of what then remains one byte does. With 8
 and three deleted, no group at that depth has more than 2^11 fingerprints.
 
 Three bits are too few to find texts that share four fifths of their shingles: those
-differ in 15 % of the bits. ``SIMILAR`` therefore takes two fingerprints with six segments
-of 21 bits, links what meets under a deletion variant of a segment and differs in at most
-19 of all 128 bits, and finds about 70 % of the pairs at a similarity of 0.8, 80 % at
-0.85, 95 % at 0.9; groups connect most of the rest.
+differ in 15 % of the bits. ``SIMILAR`` takes two fingerprints with six segments of 21
+bits and at most 19 of 128 differing bits, which still misses some such pairs and links
+others; the pipeline finds them by ``similar`` instead.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import add_columns, attach_groups, mix, set_aside, ship_code, utf8
+from statepath.llm.common import add_columns, attach_groups, mix, ship_code, utf8
 from statepath.llm.components import components
 from statepath.storage import materialize
 
@@ -60,16 +59,15 @@ CLOSE = Scheme(1, ((0, 0, 32), (0, 32, 32)), 3, halves=True)
 SIMILAR = Scheme(2, tuple((p, 21 * i, 21) for p in (0, 1) for i in (0, 1, 2)), 19)
 
 
-def fingerprints(raw: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
-    """SimHashes of the word shingles of a text, repeats included.
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes of the word shingles of a text, repeats included.
 
     Words are split at ASCII white space, A-Z lower-cased; a text of fewer words than a
-    shingle is one shingle, and a text without words has fingerprint 0. The first one is
-    of the XXH64 hashes, others of these scattered anew.
+    shingle is one shingle, and a text without words has none.
     """
     words = raw.lower().split()
     if not words:
-        return [0] * prints
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -77,11 +75,23 @@ def fingerprints(raw: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[in
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), last.tolist())),
         np.uint64,
         n,
     )
+
+
+def fingerprints(raw: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """SimHashes of the word shingles of a text, repeats included.
+
+    A text without words has fingerprint 0. The first one is of the shingle hashes,
+    others of these scattered anew.
+    """
+    hashes = shingle_hashes(raw, shingle)
+    n = len(hashes)
+    if not n:
+        return [0] * prints
     found = []
     for _ in range(prints):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
@@ -341,20 +351,3 @@ def near_groups(
     )
     grouped = attach_groups(printed, groups, "node", "n_rows", F.col(row_id))
     return grouped.drop("n_rows")
-
-
-def remove_near_copies(
-    docs: DataFrame,
-    row_id: str = "doc_id",
-    text: str = "text",
-    shingle: int = 5,
-    scheme: Scheme = SIMILAR,
-) -> DataFrame:
-    """One row of each group of near duplicates, the one with the least id.
-
-    Rows that share that id stay together, as do rows of a group in which none has an id.
-    Other columns of ``docs`` may have any names.
-    """
-    hidden, back = set_aside(docs, row_id, text)
-    grouped = near_groups(hidden, row_id, text, shingle, scheme)
-    return back(grouped.where(F.col(row_id).eqNullSafe(F.col("component_id"))))
