@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from statepath.llm.common import add_columns, bounded_sample, pieces, ship_code, utf8
 
 ORDER = 3
-# Documents of a language that its statistics are learned from.
+# Different documents of a language that its statistics are learned from.
 LEARN_DOCUMENTS = 1_000
 # Full contexts counted less often, over all languages, are left out of the trees.
 LEAST_CONTEXT = 4
@@ -167,14 +167,29 @@ class Model:
         return totals
 
 
+def sample_texts(usable: DataFrame, text: str, lang: str, limit: int) -> DataFrame:
+    """At most ``limit`` different texts of each language; copies of a text count once.
+
+    Texts are told apart by 128 bits of hashes, so only those of the sample are gathered,
+    through partial aggregates.
+    """
+    hashes = ["_hash", "_other_hash"]
+    hashed = usable.withColumn(hashes[0], F.xxhash64(text)).withColumn(
+        hashes[1], F.xxhash64(F.lit("other"), text)
+    )
+    chosen = bounded_sample(hashed.select(lang, *hashes).distinct(), lang, limit, hashes[0])
+    kept = hashed.join(F.broadcast(chosen), [lang, *hashes], "left_semi")
+    return kept.groupBy(lang, *hashes).agg(F.first(text).alias(text)).select(lang, text)
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = LEARN_DOCUMENTS) -> Model:
-    """Learn from at most ``limit`` documents of each language, chosen by a hash of the text.
+    """Learn from at most ``limit`` texts of each language, chosen by a hash of the text.
 
-    The sample bounds what the driver gathers: the counts of the byte sequences in it.
+    Copies of a text in a language count once. The sample bounds what the driver gathers: the counts of the byte sequences in it.
     """
     ship_code(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(lang, text)
-    sample = bounded_sample(usable, lang, limit, text)
+    sample = sample_texts(usable, text, lang, limit)
     counted = count_grams(sample, text, lang).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     names = np.array(counted.column("lang").to_pylist(), object)
     grams, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()

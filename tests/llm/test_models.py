@@ -168,3 +168,16 @@ def test_toxicity_on_held_out_rows(spark):
     known = found.where("held_out").join(labels, "doc_id")
     assert known.where("toxic = 0 and predicted = 1").count() == 0
     assert known.where("toxic = 1 and predicted = 1").count() >= 0.5 * known.where("toxic = 1").count()
+
+
+def test_copies_neither_empty_nor_flood_the_language_sample(spark):
+    copied = [("x", f"copied text {i % 3} of x") for i in range(900)]
+    own = [("y", f"own text {i} of y") for i in range(200)] + [("y", "a hot text of y")] * 600
+    frame = spark.createDataFrame(copied + own, "lang string, text string").repartition(7)
+    for limit in (2, 50):
+        found = [tuple(r) for r in language.sample_texts(frame, "text", "lang", limit).collect()]
+        assert len(found) == len(set(found))
+        assert sum(x == "x" for x, _ in found) == min(limit, 3)
+        assert sum(x == "y" for x, _ in found) == limit
+    model = language.learn(frame, limit=1)
+    assert model.languages == ["x", "y"]
