@@ -9,7 +9,8 @@ Reading: archives are cut into byte ranges without regard to records. A task sca
 range for the gzip magic, and tries to decode a member at each candidate: one that begins
 with a WARC header, is complete, and is followed by another such member or the end of
 the archive, is a record. A task owns the records that start inside its range and reads
-the last one to its end.
+the last one to its end. A header may be of any length. The writer reports where records
+start, and a range in which another number of records is found is an error.
 
 A record that holds an uncompressed archive could deceive a range that starts inside it.
 The writer always compresses, and a payload of text cannot contain the magic.
@@ -44,7 +45,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _HEADER_END = b"\r\n\r\n"
 _READ = 1 << 20
-_LONGEST_HEADER = 1 << 16
 
 RECORD = (
     "record_id string, record_type string, target_uri string, refers_to string, "
@@ -98,7 +98,8 @@ def write_archives(
     date: str = "1970-01-01T00:00:00Z",
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Write a record per row under ``path``; returns the archives: file, n_bytes, n_records.
+    """Write a record per row under ``path``; returns the archives: file, n_bytes,
+    n_records, and starts of the records.
 
     ``payload`` is a string column, written in UTF-8; null counts as empty. Rows of equal
     payloads that share the largest id, or all of them if none has an id, are responses.
@@ -124,7 +125,7 @@ def write_archives(
         files, root = shared_files(path)
         files.create_dir(root)
         stream = name = None
-        written = records = 0
+        written, starts = 0, []
         done = []
         for batch in batches:
             for piece in pieces(batch, "payload"):
@@ -136,23 +137,24 @@ def write_archives(
                     body = text.encode()
                     data = member(own, address, body, payload_digest(body), original, date)
                     stream.write(data)
+                    starts.append(written)
                     written += len(data)
-                    records += 1
                     if written >= archive_bytes:
                         stream.close()
-                        done.append((name, written, records))
-                        stream, written, records = None, 0, 0
+                        done.append((name, written, len(starts), starts))
+                        stream, written, starts = None, 0, []
         if stream is not None:
             stream.close()
-            done.append((name, written, records))
-        names, sizes, counts = zip(*done) if done else ((), (), ())
+            done.append((name, written, len(starts), starts))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        columns = zip(*done) if done else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-            names=["file", "n_bytes", "n_records"],
+            [pa.array(x, kind) for x, kind in zip(columns, kinds)],
+            names=["file", "n_bytes", "n_records", "starts"],
         )
 
     chosen = rows.select("id", "url", "payload", "original")
-    return materialize(chosen.mapInArrow(write, "file string, n_bytes long, n_records long"))
+    return materialize(chosen.mapInArrow(write, "file string, n_bytes long, n_records long, starts array<long>"))
 
 
 @dataclass
@@ -197,7 +199,7 @@ class Archive:
         """The member at ``place``, if a WARC record can be decoded there."""
         unpacker = zlib.decompressobj(31)
         content = bytearray()
-        at = place
+        at, seen = place, 0
         try:
             while not unpacker.eof:
                 block = self.bytes_at(at, 1 << 16)
@@ -207,12 +209,10 @@ class Archive:
                 content += unpacker.decompress(block)
                 if not content.startswith(VERSION[: len(content)]):
                     return None
-                if len(content) >= len(VERSION):
-                    has_header = content.find(_HEADER_END, 0, _LONGEST_HEADER) >= 0
-                    if not has_header and len(content) >= _LONGEST_HEADER:
-                        return None
-                    if has_header and header_only:
+                if header_only and len(content) >= len(VERSION):
+                    if content.find(_HEADER_END, max(0, seen - len(_HEADER_END) + 1)) >= 0:
                         return _Member(bytes(content), at)
+                    seen = len(content)
         except zlib.error:
             return None
         if len(content) < len(VERSION) or _HEADER_END not in content:
@@ -264,13 +264,21 @@ def parse(content: bytes) -> dict:
 def read_archives(
     spark: SparkSession, path: str, archives: DataFrame, range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
-    """One row per record of the listed archives (file, n_bytes) under ``path``."""
+    """One row per record of the listed archives (file, n_bytes) under ``path``.
+
+    If the archives have starts, a range must hold as many records as start in it.
+    """
     ship_code(spark)
     step = F.lit(range_bytes).cast("long")
+    starts = F.col("starts") if "starts" in archives.columns else F.lit(None).cast("array<long>")
     ranges = archives.where("n_bytes > 0").select(
-        "file", "n_bytes",
+        "file", "n_bytes", starts.alias("starts"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, step)).alias("start"),
     )
+    inside = F.filter("starts", lambda s: (s >= F.col("start")) & (s < F.col("start") + step))
+    ranges = ranges.select(
+        "file", "n_bytes", "start", F.when(F.col("starts").isNotNull(), F.size(inside)).alias("n_expected")
+    )
     tasks = max(1, ranges.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +289,21 @@ def read_archives(
         )
         for batch in batches:
             for own in batch.to_pylist():
-                held, size = [], 0
+                held, size, found = [], 0, 0
                 with files.open_input_file(f"{root}/{own['file']}") as source:
                     archive = Archive(source, own["n_bytes"], own["start"])
                     stop = min(own["start"] + range_bytes, own["n_bytes"])
                     for record in records_in_range(archive, own["start"], stop):
                         held.append(record)
+                        found += 1
                         size += len(record["payload"] or b"")
                         if size > BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
+                if own["n_expected"] not in (None, found):
+                    raise ValueError(
+                        f"{own['file']} from byte {own['start']}: {found} records read, {own['n_expected']} written"
+                    )
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     return ranges.repartition(tasks).mapInArrow(read, RECORD)

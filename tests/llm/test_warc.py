@@ -3,7 +3,9 @@
 import gzip
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statepath.llm import warc
 from statepath.llm.common import shared_files
@@ -82,3 +84,21 @@ def test_a_damaged_payload_is_an_error():
 
 def test_no_pages(spark):
     assert warc.round_trip(frame(spark, [])).count() == 0
+
+
+def test_headers_of_any_length(spark):
+    random = np.random.default_rng(2)
+    address = "".join(map(chr, random.integers(97, 123, 90_000)))
+    pages = [(1, "short", "one"), (2, address, "two"), (3, " " * 30_000, "three"), (4, address[::-1], "four")]
+    for range_bytes in (1 << 14, 1 << 16, 1 << 23):
+        found = warc.round_trip(frame(spark, pages).coalesce(1), range_bytes=range_bytes)
+        uris = {r.record_id: r.target_uri for r in found.select("record_id", "target_uri").collect()}
+        assert uris == {f"urn:page:{i}": u.replace(" ", "%20") for i, u, _ in pages}
+
+
+def test_a_lost_record_is_an_error(spark):
+    path = new_path(spark)
+    archives = warc.write_archives(frame(spark, PAGES), path)
+    more = archives.withColumn("starts", F.concat("starts", F.array(F.col("n_bytes") - 1)))
+    with pytest.raises(Exception, match="records read"):
+        warc.read_archives(spark, path, more).count()
