@@ -35,6 +35,8 @@ from statepath.storage import materialize
 SHINGLE = 3
 SEED = 42
 GROUP = 2_048
+# Linked nodes that a task holds before it writes their stars and starts anew.
+TREE_NODES = 1 << 18
 # Groups up to this size are compared pair by pair with array operations over the batch.
 _SMALL = 6
 _LAST_WIDTH = 16
@@ -204,6 +206,9 @@ class _Trees:
     def __init__(self):
         self._above: dict[int, int] = {}
 
+    def __len__(self) -> int:
+        return len(self._above)
+
     def find(self, node: int) -> int:
         path = []
         while (above := self._above.setdefault(node, node)) != node:
@@ -223,11 +228,14 @@ class _Trees:
         return [(n, root) for n in list(self._above) if (root := self.find(n)) != n]
 
 
-def _links(keyed: DataFrame, scheme: Scheme, group_limit: int | None) -> DataFrame:
+def _links(
+    keyed: DataFrame, scheme: Scheme, group_limit: int | None, tree_nodes: int = TREE_NODES
+) -> DataFrame:
     """Edges (a, b) between nodes, and the rows of groups beyond the limit (overfull).
 
     Rows must lie together by key. They stream through the task; only the group at hand,
-    up to the limit, and the links found are held.
+    up to the limit, and links of about ``tree_nodes`` nodes are held: a node may be in
+    several stars, which the components connect.
     """
     names = ["key", *scheme.columns, "rest"]
     schema = "overfull boolean, a long, b long, " + ", ".join(f"{c} long" for c in names)
@@ -243,6 +251,9 @@ def _links(keyed: DataFrame, scheme: Scheme, group_limit: int | None) -> DataFra
             [a.cast(k) for a, k in zip(arrays, kinds)], names=["overfull", "a", "b", *names]
         )
 
+    def stars(trees: _Trees) -> list[np.ndarray]:
+        return list(np.array(trees.stars(), np.uint64).reshape(-1, 2).T)
+
     def close(trees: _Trees, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Complete groups, in key order."""
         key, prints = columns[0], np.stack(columns[1:-1], axis=1)
@@ -284,6 +295,9 @@ def _links(keyed: DataFrame, scheme: Scheme, group_limit: int | None) -> DataFra
             last = int(changes[-1]) + 1 if len(changes) else 0
             if last:
                 yield from close(trees, [x[:last] for x in columns])
+            if len(trees) >= tree_nodes:
+                yield out(False, stars(trees))
+                trees = _Trees()
             held = [x[last:] for x in columns]
             if group_limit is not None and len(held[0]) > group_limit:
                 passing = held[0][0]
@@ -291,8 +305,7 @@ def _links(keyed: DataFrame, scheme: Scheme, group_limit: int | None) -> DataFra
                 held = [x[:0] for x in held]
         if len(held[0]):
             yield from close(trees, held)
-        stars = np.array(trees.stars(), np.uint64).reshape(-1, 2)
-        yield out(False, [stars[:, 0], stars[:, 1]])
+        yield out(False, stars(trees))
 
     return keyed.mapInArrow(run, schema)
 

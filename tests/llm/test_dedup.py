@@ -178,3 +178,17 @@ def test_components_of_a_path_and_a_hub(spark):
     roots = {r.node: r.root for r in components(edges, "a", "b").collect()}
     assert all(roots[i] == 0 for i in range(61)) and all(roots[i] == 500 for i in range(500, 900))
     assert components(edges.where("a < 0"), "a", "b").count() == 0
+
+
+def test_trees_written_in_parts_connect_the_same(spark):
+    prints = [(key, key << 8 | bit, 0) for key in range(12_000) for bit in (1, 2)]
+    schema = "key long, print_0 long, rest long"
+    keyed = spark.createDataFrame(prints, schema).coalesce(1).sortWithinPartitions("key")
+    found = []
+    for limit in (1, simhash.TREE_NODES):
+        links = simhash._links(keyed, simhash.CLOSE, 2_048, limit).where("not overfull")
+        found.append(sorted((r.a, r.b) for r in links.select("a", "b").collect()))
+    assert found[0] == found[1] and len(found[0]) == 12_000
+    trees = simhash._Trees()
+    trees.add(np.array([3]), np.array([1]))
+    assert len(trees) == 2
