@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from statepath.llm import (
     decontamination,
     exact_dedup,
     language,
+    merkle,
     sentencepiece_bpe,
     simhash,
     token_counts,
@@ -270,3 +272,92 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; a third of them are checked after their text was altered."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF_COLUMNS)
+    values = {c: F.col(c) for c in LEAF_COLUMNS}
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    altered = merkle.leaf_digest([*(values | {"text": lowered}).values()])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.witness_rows(
+        docs, merkle.leaf_digest([*values.values()]), "lang", claimed=F.when(tampered, altered)
+    )
+
+
+def _encoded_sql(column: str) -> str:
+    value = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _tree_sql(items: str, levels: int) -> str:
+    """Tables ``<items>_<level>`` above ``<items>_0`` (tree, pos, digest), with siblings."""
+    run = "OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+    parts = []
+    for level in range(levels):
+        parts.append(f"""{items}_{level}s AS (
+  SELECT *, n > 1 AS several,
+    CASE WHEN n > 1 THEN coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS before,
+    CASE WHEN n > 1 THEN coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS after
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {items}_{level})
+), {items}_{level + 1} AS (
+  SELECT tree, pos // 8 AS pos,
+    CASE WHEN any_value(several) THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM {items}_{level}s GROUP BY tree, pos // 8
+)""")
+    return ", ".join(parts)
+
+
+def _fold_sql(name: str, start: str, items: str, tree: str, pos: str, levels: int) -> str:
+    """Tables ``<name>_<level>`` that fold ``<start>`` (doc, root, proof) level by level."""
+    parts, before = [], start
+    for level in range(levels):
+        parts.append(f"""{name}_{level} AS (
+  SELECT f.* REPLACE (
+    CASE WHEN s.several THEN sha256(s.before || f.folded || s.after) ELSE f.folded END AS folded,
+    f.proof || s.before || s.after AS proof)
+  FROM {before} f JOIN {items}_{level}s s ON s.tree = f.{tree} AND s.pos = f.{pos} // {8**level}
+)""")
+        before = f"{name}_{level}"
+    return ", ".join(parts)
+
+
+# CRC-32 bit by bit: DuckDB has no function for it.
+_CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_LEAF_LEVELS, _GROUP_LEVELS = 8, 4
+_LEAF_SQL = " || ".join(map(_encoded_sql, LEAF_COLUMNS))
+_ALTERED_SQL = " || ".join(
+    map(_encoded_sql, [*LEAF_COLUMNS[:-1], f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"])
+)
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH shown AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256({_LEAF_SQL}) AS digest,
+    CASE WHEN {_CRC32_SQL} % 3 = 0 THEN sha256({_ALTERED_SQL}) ELSE sha256({_LEAF_SQL}) END AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM shown
+), leaf_0 AS (SELECT tree, pos, digest FROM placed),
+{_tree_sql("leaf", _LEAF_LEVELS)},
+tops AS (
+  SELECT tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos FROM leaf_{_LEAF_LEVELS}
+), top_0 AS (SELECT '' AS tree, pos, digest FROM tops),
+{_tree_sql("top", _GROUP_LEVELS)},
+start AS (
+  SELECT p.doc_id, p.digest AS leaf, t.digest AS subroot, p.tree, '' AS top, p.pos, t.pos AS top_pos,
+    p.claimed AS folded, '' AS proof
+  FROM placed p JOIN tops t ON p.tree = t.name
+), {_fold_sql("within", "start", "leaf", "tree", "pos", _LEAF_LEVELS)},
+{_fold_sql("above", f"within_{_LEAF_LEVELS - 1}", "top", "top", "top_pos", _GROUP_LEVELS)}
+SELECT a.doc_id, a.leaf, a.subroot, r.digest AS root, sha256(a.proof) AS proof_sha256,
+  a.folded AS folded_root, a.folded = r.digest AS verified
+FROM above_{_GROUP_LEVELS - 1} a, top_{_GROUP_LEVELS} r
+"""
