@@ -15,6 +15,7 @@ from statepath.llm import (
     exact_dedup,
     language,
     merkle,
+    pii,
     sentencepiece_bpe,
     simhash,
     token_counts,
@@ -361,3 +362,20 @@ SELECT a.doc_id, a.leaf, a.subroot, r.digest AS root, sha256(a.proof) AS proof_s
   a.folded AS folded_root, a.folded = r.digest AS verified
 FROM above_{_GROUP_LEVELS - 1} a, top_{_GROUP_LEVELS} r
 """
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the base spans; spans has those that the method adds as well."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("found")
+    counts = [
+        F.size(pii.of_kind(pii.only_base(found), kind)).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return pii.scan(docs, keep_text=False).select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.as_text(pii.only_base(found)), 256).alias("base_sha256"),
+        pii.as_text(found).alias("spans"),
+    )
