@@ -66,7 +66,10 @@ ENDINGS = "com org net edu gov info biz io eu de fr es it uk ch nl".split()
 _DIGITS = {name: str(d) for names in DIGIT_NAMES for d, name in enumerate(names.split())}
 _DOTS = "|".join(DOT_NAMES)
 _NAMES = "|".join(sorted(_DIGITS, key=len, reverse=True))
-# a named digit next to another item of a number; the rest of the run is looked at from there
+# over lower-case text: a named digit next to another item of a number
+_GATE = re.compile(
+    rf"(?<!\w)(?:{_NAMES})[ ,.-]{{1,3}}(?:{_NAMES}|{_DOTS}|[0-9])|(?:[0-9]|{_DOTS})[ ,.-]{{1,3}}(?:{_NAMES})(?!\w)"
+)
 _NAMED = re.compile(rf"(?<!\w)(?:{_NAMES})(?!\w)", re.IGNORECASE)
 _ITEM = rf"(?:{_NAMES}|{_DOTS}|[0-9]+)(?!\w)"
 _RUN = re.compile(
@@ -86,8 +89,7 @@ _SIGN = re.compile(
     rf")(?=[A-Za-z0-9])",
     re.IGNORECASE,
 )
-_MAYBE_SPELLED = rf"[A-Za-z0-9-]+(?:{_LABEL_DOT}[A-Za-z0-9-]+)*{_LABEL_DOT}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])"
-_SIGN = re.compile(rf"[@\[({{<][ ]|[ ]@|{_OPEN}(?:at|@|{_DOTS}|\.){_SHUT}|[ ](?:{_DOTS})[ ]", re.IGNORECASE)
+_MAYBE_SIGN = re.compile(rf"[@\[({{<][ ]|[ ]@|{_OPEN}(?:at|@|{_DOTS}|\.){_SHUT}|[ ](?:{_DOTS})[ ]", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -191,7 +193,7 @@ def fold_lookalikes(text: str) -> Iterator[Edit]:
 def read_digits(text: str) -> Iterator[Edit]:
     """Runs of four or more digits by name or in figures, of which some are by name."""
     place = 0
-    named = _NAMED.search(text)
+    named = _NAMED.search(text) if _GATE.search(text.lower()) else None
     while named:
         # the run may begin with figures: look for it from the items before on
         run = next(
