@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -124,6 +125,24 @@ def set_aside(
     return df.withColumnsRenamed(names), back
 
 
+def text_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple]]:
+    """The items, in blocks of about ``limit`` bytes of text that the driver can hold."""
+    items = items.select(item_id, text).where(F.col(text).isNotNull())
+    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, math.ceil(total / limit))
+    for block in range(blocks):
+        part = F.pmod(F.xxhash64(text, item_id), F.lit(blocks)) == block
+        yield [tuple(row) for row in items.where(part).collect()]
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it in any case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     """(starts, ends, document) of every run of word bytes; documents cut runs."""
     flags = is_word[data]

@@ -11,7 +11,6 @@ An item with fewer words than a window, but not none, is one window.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import Powers, SpanHash, add_columns, mix, utf8, words_of
+from statepath.llm.common import (
+    Powers,
+    SpanHash,
+    add_columns,
+    free_name,
+    mix,
+    text_blocks,
+    utf8,
+    words_of,
+)
 from statepath.storage import materialize
 
 WINDOW = 13
@@ -110,16 +118,6 @@ class WindowIndex:
                         yield int(places[i]), length, int(item[j])
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple]]:
-    """The items, in blocks of about ``limit`` bytes of text that the driver can hold."""
-    items = items.select(item_id, text).where(F.col(text).isNotNull())
-    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, math.ceil(total / limit))
-    for block in range(blocks):
-        part = F.pmod(F.xxhash64(text, item_id), F.lit(blocks)) == block
-        yield [tuple(row) for row in items.where(part).collect()]
-
-
 def scan(
     docs: DataFrame,
     items: DataFrame,
@@ -137,30 +135,29 @@ def scan(
     an id marks words but is not listed. Columns of ``docs`` with a result's name are
     replaced.
     """
-    if "_marks" in docs.columns:
-        raise ValueError("_marks is a working column")
     spark = docs.sparkSession
-    found = docs.withColumn("_marks", F.lit(None).cast("array<long>")).withColumn(
+    working = free_name("_marks", docs.columns)
+    found = docs.withColumn(working, F.lit(None).cast("array<long>")).withColumn(
         "items", F.array().cast("array<string>")
     )
     results = {"n_words": "long", "n_hit": "long", "spans": SPANS, "items": "array<string>"}
     found_any = False
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    for block in text_blocks(items, item_id, item_text, block_bytes):
         if found_any:  # a block's scan is written before the next one's begins
             found = materialize(found)
         shared = spark.sparkContext.broadcast(WindowIndex.build(block, window))
 
         def mark(piece: pa.RecordBatch, shared=shared) -> dict:
-            return _mark(piece, text, shared.value)
+            return _mark(piece, text, shared.value, working)
 
         found = add_columns(
-            found, mark, results | {"_marks": "array<long>"}, text, without=("items", "_marks")
+            found, mark, results | {working: "array<long>"}, text, without=("items", working)
         )
         found_any = True
-    return found.drop("_marks")
+    return found.drop(working)
 
 
-def _mark(piece: pa.RecordBatch, text: str, index: WindowIndex) -> dict:
+def _mark(piece: pa.RecordBatch, text: str, index: WindowIndex, working: str) -> dict:
     data, offsets = utf8(piece.column(text))
     words = _Words(data, offsets)
     n = piece.num_rows
@@ -174,7 +171,7 @@ def _mark(piece: pa.RecordBatch, text: str, index: WindowIndex) -> dict:
         if index.ids[item] is not None:
             items.setdefault(int(words.text[place]), set()).add(str(index.ids[item]))
     hit = np.cumsum(cover[:-1]) > 0
-    earlier_marks = piece.column("_marks")
+    earlier_marks = piece.column(working)
     earlier_items = piece.column("items")
     if earlier_marks.null_count < n:
         for i, marks in enumerate(earlier_marks.to_pylist()):
@@ -196,7 +193,7 @@ def _mark(piece: pa.RecordBatch, text: str, index: WindowIndex) -> dict:
         "n_hit": pa.array(n_hit, pa.int64()),
         "spans": pa.array(spans, _SPAN_TYPE),
         "items": pa.array(listed, pa.list_(pa.string())),
-        "_marks": pa.array(marks, pa.list_(pa.int64())),
+        working: pa.array(marks, pa.list_(pa.int64())),
     }
 
 

@@ -16,6 +16,7 @@ from statepath.llm import (
     language,
     merkle,
     pii,
+    ranked,
     sentencepiece_bpe,
     simhash,
     token_counts,
@@ -379,3 +380,41 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.as_text(pii.only_base(found)), 256).alias("base_sha256"),
         pii.as_text(found).alias("spans"),
     )
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), "
+    f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+ORACLES["op11_ranked_search"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {_TERMS_SQL} AS w FROM documents
+), sums AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM docs
+), times AS (
+  SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM docs) GROUP BY ALL
+), holding AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS value
+  FROM times, sums GROUP BY term, n_docs
+), wanted AS (
+  SELECT item_no, item_id, unnest(list_distinct(w)) AS term
+  FROM (SELECT row_number() OVER () AS item_no, item_id, {_TERMS_SQL} AS w FROM benchmark)
+), scored AS (
+  SELECT item_no, item_id, row_id, doc_id, CAST(sum(value *
+    ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w) * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM wanted JOIN holding USING (term) JOIN times USING (term) JOIN docs USING (row_id), sums
+  GROUP BY item_no, item_id, row_id, doc_id
+), placed AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 50
+"""
