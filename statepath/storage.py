@@ -39,11 +39,20 @@ def new_path(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/tables/{uuid4().hex}"
 
 
+# Shuffle files go once the write that made them has ended, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     spark = df.sparkSession
     path = path or new_path(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, True)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +64,35 @@ def release(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables that a computation writes and needs no longer than itself.
+
+    ``keep`` writes one; ``drop`` deletes it early, leaving the block deletes the rest.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = new_path(self._spark)
+        table = materialize(df, path)
+        self._paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self._paths:
+            if any(table is t for t in tables):
+                release(self._spark, path)
+        self._paths = [(t, p) for t, p in self._paths if not any(t is x for x in tables)]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in self._paths])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows spread by ``keys`` over all shuffle partitions, however few bytes they have.
 
