@@ -24,8 +24,10 @@ PIECE_BYTES = 1 << 19
 # Bytes of an Arrow batch that Spark hands to a task.
 BATCH_BYTES = 8 << 20
 # A key counts as hot if it owns more than 1 / HOT_KEYS of the rows, so that there are
-# fewer hot keys than this and their groups can be broadcast.
+# fewer hot keys than this and a list of them can be broadcast.
 HOT_KEYS = 1_000
+# Rows that a key may have in one task whatever its share.
+COLD_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,38 +201,54 @@ def shared_files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def attach_groups(
-    rows: DataFrame, groups: DataFrame, key: str, size: str, spread_by: Column
+    rows: DataFrame,
+    groups: DataFrame,
+    key: str,
+    size: str,
+    spread_by: Column,
+    how: str = "left",
+    sizes: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
-    """Left join ``rows`` to a table with one row per ``key``, some of them very hot.
+    """Join ``rows`` to a table with one row per ``key``, some of them very hot.
 
-    Fewer than HOT_KEYS groups can own more than 1 / HOT_KEYS of the counted rows: those
-    are broadcast. Rows of hot keys then carry salts of ``spread_by`` in the join with the
-    other groups, which they cannot meet, so no task gathers them.
+    A key is hot if it owns more than 1 / HOT_KEYS of the counted rows and COLD_ROWS. Its rows are dealt
+    over as many salts as leave each of them less, by a hash of ``spread_by``, and its group
+    is repeated for each salt, so no task gathers it. What is broadcast is a list of fewer
+    than HOT_KEYS keys and numbers, whatever the groups hold. ``sizes`` are (key, size) if
+    ``groups``, then taken as written already, lacks them. ``keep`` writes the groups.
     """
-    groups = materialize(groups)
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) * HOT_KEYS > F.lit(total)
+    if sizes is None:
+        groups = keep(groups)
+        sizes = groups.select(key, size)
+    total, most = sizes.agg(F.sum(size), F.max(size)).first()
+    hot = []
+    if most is not None and most > max(COLD_ROWS, total / HOT_KEYS):
+        limit = max(COLD_ROWS, total / HOT_KEYS)
+        hot = sizes.where(F.col(size) > limit).select(
+            F.col(key), F.ceil(F.col(size) / limit).cast("int")
+        ).collect()
     values = [c for c in groups.columns if c != key]
-    hot = groups.where(is_hot).select(
-        F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
-    )
-    cold = groups.where(~is_hot).select(
-        F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_salt"),
-        F.struct(*values).alias("_cold"),
-    )
-    marked = rows.drop(*values).join(
-        F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left"
-    ).withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))),
-    )
-    joined = marked.join(
-        cold,
-        (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")),
-        "left",
-    ).withColumn("_group", F.coalesce("_hot", "_cold"))
-    kept = [c for c in rows.columns if c not in values]
-    return joined.select(*kept, *[F.col(f"_group.{v}").alias(v) for v in values])
+    rows = rows.drop(*values)
+    taken = [*rows.columns, *values]
+    own, salt, other = (free_name(n, taken) for n in ("_own_key", "_salt", "_group_salt"))
+    groups = groups.withColumnRenamed(key, own)
+    match = F.col(key) == F.col(own)
+    if hot:
+        named, salts = (free_name(n, taken) for n in ("_hot_key", "_salts"))
+        kind = rows.schema[key].dataType
+        schema = T.StructType([T.StructField(named, kind), T.StructField(salts, T.IntegerType())])
+        listed = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
+        rows = rows.join(listed, F.col(key) == F.col(named), "left").withColumn(
+            salt, F.coalesce(F.pmod(F.xxhash64(spread_by), F.col(salts)), F.lit(0))
+        )
+        last = F.coalesce(F.col(salts), F.lit(1)) - 1
+        groups = groups.join(listed, F.col(own) == F.col(named), "left").withColumn(
+            other, F.explode(F.sequence(F.lit(0), last))
+        ).drop(named, salts)
+        match = match & (F.col(salt) == F.col(other))
+        rows = rows.drop(named, salts)
+    return rows.join(groups, match, how).drop(salt, own, other)
 
 
 def bounded_sample(rows: DataFrame, label: str, limit: int, order_by: str) -> DataFrame:

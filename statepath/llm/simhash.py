@@ -10,16 +10,11 @@ spanning forest, never all pairs of a group. A group of more than ``GROUP`` is c
 by the same method: of the other half, 32 bits with at most 3 differences, one 16-bit
 half differs in at most one bit, and of what then remains one byte does. With 8 bits left
 and three deleted, no group at that depth has more than 2^11 fingerprints.
-
-Three bits are too few to find texts that share four fifths of their shingles: those
-differ in 15 % of the bits. ``SIMILAR`` takes two fingerprints with six segments of 21
-bits and at most 19 of 128 differing bits, which still misses some such pairs and links
-others; the pipeline finds them by ``similar`` instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import add_columns, attach_groups, mix, ship_code, utf8
+from statepath.llm.common import add_columns, attach_groups, free_name, mix, ship_code, utf8
 from statepath.llm.components import components
-from statepath.storage import materialize
+from statepath.storage import Scratch, materialize
 
 SHINGLE = 3
 SEED = 42
@@ -58,7 +53,6 @@ class Scheme:
 
 
 CLOSE = Scheme(1, ((0, 0, 32), (0, 32, 32)), 3, halves=True)
-SIMILAR = Scheme(2, tuple((p, 21 * i, 21) for p in (0, 1) for i in (0, 1, 2)), 19)
 
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -310,7 +304,12 @@ def _links(
     return keyed.mapInArrow(run, schema)
 
 
-def find_links(prints: DataFrame, scheme: Scheme = CLOSE, group_limit: int = GROUP) -> DataFrame:
+def find_links(
+    prints: DataFrame,
+    scheme: Scheme = CLOSE,
+    group_limit: int = GROUP,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
     """Edges (a, b) between nodes that connect all links of the scheme, and nothing else.
 
     ``prints`` has one row for each node. An edge may stand for a chain of links.
@@ -323,7 +322,7 @@ def find_links(prints: DataFrame, scheme: Scheme = CLOSE, group_limit: int = GRO
     while True:
         keyed = _explode(rows, scheme, width).repartition("key").sortWithinPartitions("key")
         can_cut = scheme.halves and width > _LAST_WIDTH
-        found = materialize(_links(keyed, scheme, group_limit if can_cut else None))
+        found = keep(_links(keyed, scheme, group_limit if can_cut else None))
         own = found.where("not overfull").select("a", "b")
         edges = own if edges is None else edges.union(own)
         rows = found.where("overfull").select("key", *scheme.columns, "rest")
@@ -344,23 +343,36 @@ def near_groups(
     """``docs`` with its fingerprints and component_id: the least id that links can reach.
 
     A component without any id has a null component_id. Columns with a result's name are
-    replaced. The rows, without the text if it is not kept, are written once with their
-    fingerprints.
+    replaced, others stay, whatever their names. The rows, without the text if it is not
+    kept, are written once with their fingerprints.
     """
-    printed = materialize(add_fingerprints(docs, text, shingle, scheme, keep_text))
-    own = materialize(
-        printed.groupBy("node", *scheme.columns).agg(
-            F.min(row_id).alias("least_id"), F.count(F.lit(1)).alias("n_rows")
+    taken = [*docs.columns, *scheme.columns]
+    size = free_name("n_rows", taken)
+    with Scratch(docs.sparkSession) as scratch:
+        # what is returned is read from these two, so they stay
+        printed = materialize(add_fingerprints(docs, text, shingle, scheme, keep_text))
+        own = scratch.keep(
+            printed.groupBy("node", *scheme.columns).agg(
+                F.min(row_id).alias("least_id"), F.count(F.lit(1)).alias("n_rows")
+            )
         )
+        roots = scratch.keep(components(find_links(own, scheme, group_limit, scratch.keep), "a", "b"))
+        linked = scratch.keep(roots.join(own, "node").select("node", "root", "least_id"))
+        named = name_components(linked, scratch)
+        groups = materialize(
+            own.join(named, "node", "left").select(
+                "node", F.col("n_rows").alias(size), F.coalesce("component_id", "least_id").alias("component_id")
+            )
+        )
+    sizes = groups.select("node", size)
+    grouped = attach_groups(printed, groups, "node", size, F.col(row_id), sizes=sizes)
+    return grouped.drop(size)
+
+
+def name_components(linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component_id) from written (node, root, least_id): the least id of a root's nodes."""
+    least = linked.groupBy("root").agg(
+        F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")
     )
-    roots = components(find_links(own, scheme, group_limit), "a", "b")
-    linked = materialize(
-        roots.join(own, "node").select("node", "root", "least_id")
-    )
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "root").select("node", "component_id")
-    groups = own.join(named, "node", "left").select(
-        "node", "n_rows", F.coalesce("component_id", "least_id").alias("component_id")
-    )
-    grouped = attach_groups(printed, groups, "node", "n_rows", F.col(row_id))
-    return grouped.drop("n_rows")
+    named = attach_groups(linked, least, "root", "n", F.col("node"), keep=scratch.keep)
+    return named.select("node", "component_id")
