@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import math
 import tempfile
 import zipfile
@@ -50,6 +52,19 @@ def ship_code(spark: SparkSession) -> None:
     _ship_once(spark.sparkContext.applicationId)
 
 
+def let_go() -> None:
+    """Give memory that this process has freed back to the system.
+
+    Python workers outlive tasks and stages, and there can be several for each core.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets; null counts as empty."""
     array = array.cast(pa.large_binary())
@@ -110,6 +125,7 @@ def add_columns(
                 )
         if finish is not None:
             finish()
+        let_go()
 
     return df.mapInArrow(run, schema)
 

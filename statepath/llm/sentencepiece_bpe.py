@@ -299,3 +299,26 @@ def decode(
         return {result: pa.array(texts, pa.string())}
 
     return add_columns(encoded, run, {result: "string"}, ids, () if keep_ids else (ids,))
+
+
+def round_trip(
+    docs: DataFrame, path: str, text: str = "text", end: bool = True, keep_text: bool = True
+) -> DataFrame:
+    """``docs`` with ids, as encode gives them, and decoded, the library's text of these.
+
+    One pass in one worker per task; encode and decode after each other take two. Null
+    counts as empty. Columns with a result's name are replaced.
+    """
+
+    def run(piece: pa.RecordBatch) -> dict:
+        found = encode_batch([t or "" for t in piece.column(text).to_pylist()], path, end)
+        library = Vocabulary.load(path).library
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        values = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return {
+            "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+            "decoded": pa.array([library.decode(x.tolist()) for x in found], pa.string()),
+        }
+
+    results = {"ids": "array<int>", "decoded": "string"}
+    return add_columns(docs, run, results, text, () if keep_text else (text,), forget)
