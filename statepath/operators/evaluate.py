@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statepath.config import SLICE_WIDTH
-from statepath.operators.ordering import join_subject, number_rows, time_slice
+from statepath.operators.ordering import join_subject, number_rows, repeated_key, time_slice
 from statepath.operators.transitions import expected_next_risk, next_risk
 from statepath.storage import fits_broadcast, join_lookup, materialize, spread
 
@@ -32,12 +32,14 @@ def one_step_reward_error(
     """MAE, MSE and R2 of the expected next risk, in one row.
 
     The error depends on a row only through (CLUSTER, ACTION, NEXT_RISK), so the
-    steps are first counted by those and only the counts meet the expectations:
-    no join ever touches step rows.
+    steps are first counted by those, once, and only the counts meet the expectations:
+    no join ever touches step rows. Steps that carry NEXT_RISK are not ordered again.
     """
-    observed = (
-        next_risk(steps.select("ID", "TIME", "CLUSTER", "ACTION", "RISK"), end_states)
-        .where(F.col("NEXT_RISK").isNotNull())
+    columns = ["ID", "TIME", "CLUSTER", "ACTION", "RISK"]
+    labelled = "NEXT_RISK" in steps.columns
+    following = steps if labelled else next_risk(steps.select(*columns), end_states)
+    observed = materialize(
+        following.where(F.col("NEXT_RISK").isNotNull())
         .groupBy("CLUSTER", "ACTION", F.col("NEXT_RISK").cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -47,14 +49,11 @@ def one_step_reward_error(
     known = F.when(error.isNotNull(), F.col("n"))
     rss = F.sum(F.col("n") * error * error)
     tss = F.sum(F.col("n") * F.pow(F.col("y") - F.col("mean"), F.lit(2)))
-    return (
-        observed.withColumn("mean", mean)
-        .join(expected, ["CLUSTER", "ACTION"], "left")
-        .agg(
-            (F.sum(F.col("n") * F.abs(error)) / F.sum(known)).alias("mae"),
-            (rss / F.sum(known)).alias("mse"),
-            F.when(tss != 0, 1 - rss / tss).alias("r2"),
-        )
+    joined = join_lookup(observed, expected, ["CLUSTER", "ACTION"], "left", salt_by=["y"], width=3)
+    return joined.withColumn("mean", mean).agg(
+        (F.sum(F.col("n") * F.abs(error)) / F.sum(known)).alias("mae"),
+        (rss / F.sum(known)).alias("mse"),
+        F.when(tss != 0, 1 - rss / tss).alias("r2"),
     )
 
 
@@ -81,12 +80,20 @@ def subject_sequences(steps: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     """Ordered states and actions per (ID, BLOCK).
 
     A block covers ``width`` time steps, so an array has at most that many
-    entries. A subject shorter than that is one block, numbered 0.
+    entries: two rows at one TIME are an error before any array is made. A subject
+    shorter than that is one block, numbered 0.
     """
     ordered = F.array_sort(F.collect_list(F.struct("TIME", "CLUSTER", "ACTION")))
+
+    def once(column: str):
+        alone = (F.count(F.lit(1)) == 1) | F.col("TIME").isNull()
+        return F.when(alone, F.first(column)).otherwise(repeated_key()).alias(column)
+
     blocks = steps.select("ID", "TIME", "CLUSTER", "ACTION", time_slice(width).alias("BLOCK"))
     return (
         spread(blocks, "ID", "BLOCK")
+        .groupBy("ID", "BLOCK", "TIME")
+        .agg(*[once(c) for c in ("CLUSTER", "ACTION")])
         .groupBy("ID", "BLOCK")
         .agg(ordered.alias("_rows"))
         .select(

@@ -74,7 +74,9 @@ def forest_fit(
         ),
     ]
     known = skip_invalid(rows, [*features, label])
-    return Pipeline(stages=stages).fit(known.select(*features, _nominal(known, label)))
+    fitted = Pipeline(stages=stages).fit(known.select(*features, _nominal(known, label)))
+    # a copy has no training summary, whose session tasks cannot serialise once it observes
+    return PipelineModel([stage.copy() for stage in fitted.stages])
 
 
 def _nominal(rows: DataFrame, label: str) -> Column:
@@ -160,12 +162,16 @@ def extend_split(
     return halves.unionByName(extended.drop("prediction", *entries))
 
 
+def split_sizes() -> list[Column]:
+    """Rows of both halves, as aggregates."""
+    return [F.count_if(F.col("SUB") == half).alias(f"size_{half}") for half in (0, 1)]
+
+
 def accept_split(halves: DataFrame, min_splitoff: int = 300) -> DataFrame:
     """Sizes of both halves and whether each is large enough, in one row."""
-    return halves.agg(
-        F.count_if(F.col("SUB") == 0).alias("size_0"),
-        F.count_if(F.col("SUB") == 1).alias("size_1"),
-    ).withColumn("accepted", (F.col("size_0") >= min_splitoff) & (F.col("size_1") >= min_splitoff))
+    return halves.agg(*split_sizes()).withColumn(
+        "accepted", (F.col("size_0") >= min_splitoff) & (F.col("size_1") >= min_splitoff)
+    )
 
 
 def surrogate_tree(steps: DataFrame, features: Sequence[str], depth: int = 4) -> PipelineModel:

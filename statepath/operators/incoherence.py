@@ -66,12 +66,15 @@ def rank_incoherence(
     return left.orderBy(F.desc("incoherence"), *PAIR)
 
 
-def worst_action(rows: DataFrame, size: int, vector: str = "prob") -> DataFrame:
-    """The most incoherent action of each half (SUB) of a candidate split."""
+def worst_action(
+    rows: DataFrame, size: int, vector: str = "prob", min_obs: int = 0
+) -> DataFrame:
+    """The most incoherent action of each half (SUB), of those with ``min_obs`` known rows."""
     halves = rows.withColumn("CLUSTER", F.col("SUB"))
     order = F.struct(F.col("incoherence"), -F.col("ACTION"))
     return (
         information_radius(halves, size, vector)
+        .where(F.col("cnt") >= min_obs)
         .groupBy(F.col("CLUSTER").alias("SUB"))
         .agg(
             F.max_by("ACTION", order).alias("ACTION"),

@@ -26,6 +26,13 @@ def time_slice(width: int = SLICE_WIDTH) -> Column:
     return F.floor(F.col("TIME") / F.lit(width)).cast("int")
 
 
+def repeated_key() -> Column:
+    """Fails with the (ID, TIME) that a subject has twice."""
+    return F.raise_error(
+        F.concat(F.lit("two steps of subject "), F.col("ID").cast("string"), F.lit(" at time "), F.col("TIME").cast("string"))
+    )
+
+
 def needs_slices(steps: DataFrame, width: int = SLICE_WIDTH) -> bool:
     latest = steps.agg(F.max("TIME")).first()[0]
     return latest is not None and latest >= width
@@ -101,6 +108,9 @@ def lead_values(
     ``following`` maps new column -> column read from the subject's next row by
     TIME (gaps are skipped). ``at_end`` maps new column -> column of ``subjects``
     (one row per ID) used where the next value is null or there is no next row.
+
+    The order must be defined: two rows of a subject at one TIME are an error, which the
+    window itself finds.
     """
     sliced = needs_slices(steps, width) if sliced is None else sliced
     at_end = at_end or {}
@@ -114,13 +124,14 @@ def lead_values(
     else:
         whole = Window.partitionBy("ID").orderBy("TIME")
         joined = steps.withColumns({f"_next_{c}": F.lead(c).over(whole) for c in sources})
+        joined = joined.withColumn("_next_time", F.lead("TIME").over(whole))
         joined = joined if ends is None else joined.join(ends, "ID", "left")
     values = []
     for new, source in following.items():
         value = F.col(f"_next_{source}")
         if ends is not None and new in at_end:
             value = F.coalesce(value, F.col(f"_end_{new}"))
-        values.append(value.alias(new))
+        values.append(F.when(F.col("_next_time") == F.col("TIME"), repeated_key()).otherwise(value).alias(new))
     kept = [F.col(c) for c in steps.columns if c not in following]
     return joined.select(*kept, *values)
 
@@ -140,6 +151,7 @@ def _lead_by_slice(
     inside = Window.partitionBy("ID", "_slice").orderBy("TIME")
     ahead = cut.withColumns({f"_next_{c}": F.lead(c).over(inside) for c in sources})
     ahead = ahead.withColumn("_last", F.lead(F.lit(True)).over(inside).isNull())
+    ahead = ahead.withColumn("_next_time", F.lead("TIME").over(inside))
     joined = _join_null_safe(ahead, heads, ["ID", "_slice"])
     crossing = {
         f"_next_{c}": F.when(F.col("_last"), F.col(f"_after_{c}")).otherwise(F.col(f"_next_{c}"))

@@ -90,10 +90,16 @@ def join_end_state(steps: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def next_state(
-    steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH
+    steps: DataFrame,
+    end_states: DataFrame,
+    width: int = SLICE_WIDTH,
+    bounds: tuple[int, bool] | None = None,
 ) -> DataFrame:
-    """Add NEXT_CLUSTER: the next observed row's state, else the subject's end state."""
-    offset, sliced = step_bounds(steps, width)
+    """Add NEXT_CLUSTER: the next observed row's state, else the subject's end state.
+
+    ``bounds`` are the results of :func:`step_bounds` where they are known already.
+    """
+    offset, sliced = bounds or step_bounds(steps, width)
     return lead_values(
         steps,
         {"NEXT_CLUSTER": "CLUSTER"},
@@ -117,10 +123,13 @@ def next_risk(steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH)
 
 
 def next_state_and_risk(
-    steps: DataFrame, end_states: DataFrame, width: int = SLICE_WIDTH
+    steps: DataFrame,
+    end_states: DataFrame,
+    width: int = SLICE_WIDTH,
+    bounds: tuple[int, bool] | None = None,
 ) -> DataFrame:
     """NEXT_CLUSTER and NEXT_RISK from one pass over the ordered steps."""
-    offset, sliced = step_bounds(steps, width)
+    offset, sliced = bounds or step_bounds(steps, width)
     return lead_values(
         steps,
         {"NEXT_CLUSTER": "CLUSTER", "NEXT_RISK": "RISK"},

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.errors import SparkRuntimeException
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -122,6 +123,80 @@ def test_refinement(raw):
     assert trained.transitions.join(known, "NEXT_CLUSTER", "left_anti").isEmpty()
 
 
+def plain_radius(rows_, least):
+    """Mean Jensen-Shannon divergence to the mean of each group with enough rows."""
+    groups = {}
+    for key, vector in rows_:
+        groups.setdefault(key, []).append(vector)
+    found = {}
+    for key, vectors in groups.items():
+        mean = [sum(x) / len(vectors) for x in zip(*vectors)]
+        entropy = lambda v: -sum(p * math.log(p) for p in v if p > 0)
+        each = [entropy([(p + q) / 2 for p, q in zip(v, mean)]) - (entropy(v) + entropy(mean)) / 2 for v in vectors]
+        if len(vectors) >= least:
+            found[key] = (sum(each) / len(vectors), len(vectors))
+    return found
+
+
+def test_refinement_chooses_and_accepts_as_brute_force(raw, monkeypatch):
+    from statepath.plans import refine
+
+    config = Config(max_states=5, min_obs=20, min_splitoff=5, forest_trees=5, split_trees=5)
+    scored, halves = [], []
+    radius, worst = refine.incoherence.information_radius, refine.incoherence.worst_action
+
+    def noted_radius(rows_, *args, **options):
+        if "SUB" not in rows_.columns:
+            scored.append(rows_.where("NEXT_CLUSTER is not null").select("CLUSTER", "ACTION", "prob").collect())
+        return radius(rows_, *args, **options)
+
+    def noted_worst(rows_, *args, **options):
+        halves.append(rows_.where("NEXT_CLUSTER is not null").select("SUB", "ACTION", "prob").collect())
+        return worst(rows_, *args, **options)
+
+    monkeypatch.setattr(refine.incoherence, "information_radius", noted_radius)
+    monkeypatch.setattr(refine.incoherence, "worst_action", noted_worst)
+    log = refine_states(*raw, config).log.collect()
+    tried, accepted = set(), iter(halves)
+    for row in log:
+        ranked = plain_radius([((r.CLUSTER, r.ACTION), list(r.prob)) for r in scored[row.iteration]], config.min_obs)
+        left = {k: v for k, v in ranked.items() if k not in tried}
+        best = max(v[0] for v in left.values())
+        assert left[row.cluster, row.action][0] == pytest.approx(best, abs=1e-9)
+        assert (row.incoherence, row.cnt) == (pytest.approx(best, abs=1e-9), left[row.cluster, row.action][1])
+        tried.add((row.cluster, row.action))
+        assert row.accepted == (min(row.size_0, row.size_1) >= config.min_splitoff)
+        if row.accepted:
+            own = plain_radius([((r.SUB, r.ACTION), list(r.prob)) for r in next(accepted)], config.min_splitoff)
+            for half, shown in enumerate((row.incoherence_0, row.incoherence_1)):
+                values = [v[0] for k, v in own.items() if k[0] == half]
+                assert shown == (pytest.approx(max(values), abs=1e-9) if values else None)
+    assert any(r.accepted for r in log)
+
+
+def test_refinement_reads_its_source_once(spark, raw, tmp_path):
+    steps, ends = raw
+    steps.write.parquet(f"{tmp_path}/steps")
+    seen = spark.sparkContext.accumulator(0)
+    total = steps.count()
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.read.parquet(f"{tmp_path}/steps")
+    source = source.mapInArrow(watched, source.schema)
+    refine_states(source, ends, Config(max_states=4, min_obs=20, min_splitoff=5, forest_trees=2, split_trees=2))
+    assert seen.value == total
+
+
+def test_refinement_refuses_two_steps_at_one_time(raw):
+    steps, ends = raw
+    with pytest.raises(SparkRuntimeException, match="two steps of subject"):
+        refine_states(steps.unionByName(steps.limit(1)), ends, Config(min_obs=10**9))
+
+
 def test_refinement_without_candidates(raw):
     trained = refine_states(*raw, Config(min_obs=10**9, forest_trees=2))
     assert trained.log.isEmpty()

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from statepath.operators import ordering, prepare, profile, quality, transitions
+from statepath.operators import evaluate, ordering, prepare, profile, quality, transitions
 from statepath.plans import absorb, solve
 
 
@@ -131,3 +131,24 @@ def test_end_state_names_are_broadcast_whatever_the_threshold(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("width", [2, 100])
+def test_repeated_steps_are_refused_where_order_matters(spark, width):
+    steps = spark.createDataFrame(
+        [("a", 0, 1, 0, 1), ("a", 3, 2, 0, 1), ("a", 3, 1, 1, 1), ("b", 0, 1, 0, 1)],
+        "ID string, TIME int, CLUSTER int, ACTION int, RISK int",
+    )
+    ends = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "ID string, end_state string, Reward int")
+    for df in (
+        transitions.next_state(steps, ends, width), transitions.next_risk(steps, ends, width),
+        evaluate.subject_sequences(steps, width),
+    ):
+        with pytest.raises(SparkRuntimeException, match="two steps of subject a at time 3"):
+            df.collect()
+
+
+def test_many_copies_of_one_step_never_become_an_array(spark):
+    hot = spark.range(100_000).select(F.lit("a").alias("ID"), F.lit(1).alias("TIME"), F.lit(0).alias("CLUSTER"), F.lit(0).alias("ACTION"))
+    with pytest.raises(SparkRuntimeException, match="two steps of subject a at time 1"):
+        evaluate.subject_sequences(hot).collect()
