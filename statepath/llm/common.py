@@ -238,9 +238,8 @@ def attach_groups(
         groups = keep(groups)
         sizes = groups.select(key, size)
     total, most = sizes.agg(F.sum(size), F.max(size)).first()
-    hot = []
-    if most is not None and most > max(COLD_ROWS, total / HOT_KEYS):
-        limit = max(COLD_ROWS, total / HOT_KEYS)
+    hot, limit = [], max(COLD_ROWS, (total or 0) / HOT_KEYS)
+    if most is not None and most > limit:
         hot = sizes.where(F.col(size) > limit).select(
             F.col(key), F.ceil(F.col(size) / limit).cast("int")
         ).collect()
@@ -258,10 +257,14 @@ def attach_groups(
         rows = rows.join(listed, F.col(key) == F.col(named), "left").withColumn(
             salt, F.coalesce(F.pmod(F.xxhash64(spread_by), F.col(salts)), F.lit(0))
         )
-        last = F.coalesce(F.col(salts), F.lit(1)) - 1
-        groups = groups.join(listed, F.col(own) == F.col(named), "left").withColumn(
-            other, F.explode(F.sequence(F.lit(0), last))
-        ).drop(named, salts)
+        if size in values:  # without a join, so that the size of small groups stays known
+            groups = groups.withColumn(
+                other, F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / limit).cast("int") - 1))
+            )
+        else:
+            groups = groups.join(listed, F.col(own) == F.col(named), "left").withColumn(
+                other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
+            ).drop(named, salts)
         match = match & (F.col(salt) == F.col(other))
         rows = rows.drop(named, salts)
     return rows.join(groups, match, how).drop(salt, own, other)
