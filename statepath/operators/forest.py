@@ -9,16 +9,22 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import IndexToString, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statepath.operators.prepare import is_valid, skip_invalid
 from statepath.storage import materialize
 
-FOREST_COLUMNS = ("_features", "_raw", "_probability", "_prediction")
+FOREST_COLUMNS = ("_features", "_raw", "_probability", "_prediction", "_class")
+
+# A model keeps its classes on the driver and statistics of each in every node.
+MOST_CLASSES = 10_000
+
+# Rows of one class are ordered by a hash; a slice has its first 12 bits.
+_SLICE_SHIFT = 52
 
 
 def assemble(rows: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
@@ -59,7 +65,12 @@ def forest_fit(
     depth: int = 10,
     seed: int = 0,
 ) -> PipelineModel:
-    """A random forest over the rows whose label and features are all known."""
+    """A random forest over the rows whose label and features are all known.
+
+    Labels are any 32-bit integers; the model keeps those that occur (``class_list``).
+    """
+    known = skip_invalid(rows, [*features, label])
+    classes = _classes(known, label)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep"),
         RandomForestClassifier(
@@ -72,23 +83,65 @@ def forest_fit(
             maxDepth=depth,
             seed=seed,
         ),
+        _dictionary(classes),
     ]
-    known = skip_invalid(rows, [*features, label])
-    fitted = Pipeline(stages=stages).fit(known.select(*features, _nominal(known, label)))
+    fitted = Pipeline(stages=stages).fit(_coded(known, features, label, classes))
     # a copy has no training summary, whose session tasks cannot serialise once it observes
     return PipelineModel([stage.copy() for stage in fitted.stages])
 
 
-def _nominal(rows: DataFrame, label: str) -> Column:
-    """The label with its number of classes, as otherwise 100 are the most."""
-    highest = rows.agg(F.max(label)).first()[0]
-    classes = {} if highest is None else {"num_vals": int(highest) + 1}
-    attribute = {"ml_attr": {"name": "_label", "type": "nominal", **classes}}
-    return F.col(label).cast("double").alias("_label", metadata=attribute)
+def _classes(rows: DataFrame, label: str) -> list[int]:
+    """The sorted labels that occur."""
+    whole = (F.col(label).cast("double") == F.col(label).cast("int")).alias("whole")
+    found = (
+        rows.select(F.col(label).cast("int").alias("class"), whole)
+        .distinct()
+        .limit(MOST_CLASSES + 1)
+        .collect()
+    )
+    if not found:
+        raise ValueError(f"no row has a known {label} and known features")
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
+    if not all(r.whole for r in found):
+        raise ValueError(f"{label} has values that are not whole numbers")
+    return sorted({r["class"] for r in found})
+
+
+def _dictionary(classes: Sequence[int]) -> IndexToString:
+    """The last stage of a model: from the codes it predicts back to labels."""
+    return IndexToString(
+        inputCol="_prediction", outputCol="_class", labels=[str(c) for c in classes]
+    )
+
+
+def _coded(
+    rows: DataFrame, features: Sequence[str], label: str, classes: Sequence[int]
+) -> DataFrame:
+    """The features and ``_label``, the place of the label in the list of classes."""
+    named = rows.select(*features, F.col(label).cast("int").alias("_of"))
+    code = F.col("_of")
+    if list(classes) != list(range(len(classes))):
+        codes = rows.sparkSession.createDataFrame(
+            list(enumerate(classes)), "_code int, _listed int"
+        )
+        named = named.join(F.broadcast(codes), F.col("_of") == F.col("_listed"))
+        code = F.col("_code")
+    # told the number of classes, as otherwise 100 are the most; one class is not accepted
+    attribute = {"name": "_label", "type": "nominal", "num_vals": max(2, len(classes))}
+    return named.select(
+        *features, code.cast("double").alias("_label", metadata={"ml_attr": attribute})
+    )
+
+
+def class_list(model: PipelineModel) -> list[int]:
+    """The sorted labels that the model was fitted on."""
+    return [int(c) for c in model.stages[-1].getLabels()]
 
 
 def class_count(model: PipelineModel) -> int:
-    return model.stages[-1].numClasses
+    """Entries of a vector that ``forest_predict_proba`` gives."""
+    return class_list(model)[-1] + 1
 
 
 def _scored(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, Column]:
@@ -99,15 +152,51 @@ def _scored(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, Column]:
 def forest_predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The input with ``prediction``; null where a feature is unknown."""
     scored, valid = _scored(model, rows)
-    predicted = F.when(valid, F.col("_prediction").cast("int"))
+    predicted = F.when(valid, F.col("_class").cast("int"))
     return scored.withColumn("prediction", predicted).drop(*FOREST_COLUMNS)
 
 
 def forest_predict_proba(model: PipelineModel, rows: DataFrame, output: str = "prob") -> DataFrame:
-    """The input with one probability per class, indexed by the class label."""
+    """The input with one probability per class, indexed by the class label.
+
+    Labels that did not occur have 0. With negative or very large labels use
+    ``forest_class_probabilities``.
+    """
+    classes = class_list(model)
+    if classes[0] < 0:
+        raise ValueError("negative labels cannot be an index: see forest_class_probabilities")
+    scored, valid = _scored(model, rows)
+    probabilities = _of_classes(classes)
+    if classes != list(range(len(classes))):
+        gaps = [high - low - 1 for low, high in zip([-1, *classes], classes)]
+        spread = F.zip_with(
+            F.lit(gaps),
+            probabilities,
+            lambda gap, p: F.concat(F.array_repeat(F.lit(0.0), gap), F.array(p)),
+        )
+        probabilities = F.flatten(spread)
+    return scored.withColumn(output, F.when(valid, probabilities)).drop(*FOREST_COLUMNS)
+
+
+def forest_class_probabilities(
+    model: PipelineModel, rows: DataFrame, output: str = "classes"
+) -> DataFrame:
+    """The input with an array of (class, p), one entry per class that occurs, by class.
+
+    Null where a feature is unknown.
+    """
     scored, valid = _scored(model, rows)
-    probabilities = F.when(valid, vector_to_array("_probability"))
-    return scored.withColumn(output, probabilities).drop(*FOREST_COLUMNS)
+    classes = class_list(model)
+    listed = F.zip_with(
+        F.lit(classes), _of_classes(classes), lambda c, p: F.struct(c.alias("class"), p.alias("p"))
+    )
+    return scored.withColumn(output, F.when(valid, listed)).drop(*FOREST_COLUMNS)
+
+
+def _of_classes(classes: Sequence[int]) -> Column:
+    """Probabilities by place in the list of classes."""
+    probabilities = vector_to_array("_probability")
+    return F.slice(probabilities, 1, 1) if len(classes) == 1 else probabilities
 
 
 def next_state_classifier(
@@ -184,16 +273,63 @@ def surrogate_tree(steps: DataFrame, features: Sequence[str], depth: int = 4) ->
         predictionCol="_prediction",
         maxDepth=depth,
     )
-    return Pipeline(stages=[_tree_inputs(features), tree]).fit(_tree_rows(steps, features))
+    known = skip_invalid(steps, [*features, "CLUSTER"])
+    classes = _classes(known, "CLUSTER")
+    stages = [_tree_inputs(features), tree, _dictionary(classes)]
+    return Pipeline(stages=stages).fit(_coded(known, features, "CLUSTER", classes))
 
 
 def _tree_inputs(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
 
 
-def _tree_rows(steps: DataFrame, features: Sequence[str]) -> DataFrame:
-    known = skip_invalid(steps, [*features, "CLUSTER"])
-    return known.select(*features, _nominal(known, "CLUSTER"))
+def stratified_folds(
+    rows: DataFrame, features: Sequence[str], label: str, folds: int = 5, seed: int = 0
+) -> DataFrame:
+    """The different (features, label) with ``fold`` and ``weight``, the rows they stand for.
+
+    Rows of a class are put in the order of a hash and dealt in turn, so any two folds
+    differ by at most one row of a class. The n-th class starts with fold n. Equal rows are
+    counted first, and an order is kept within slices of a class only, so neither a hot
+    class nor a hot row is gathered. Rows with a null or NaN are left out. The result
+    depends on the rows and the seed alone, not on their partitions.
+    """
+    known = skip_invalid(rows, [*features, label])
+    return _dealt(_coded(known, features, label, _classes(known, label)), features, folds, seed)
+
+
+def _dealt(coded: DataFrame, features: Sequence[str], folds: int, seed: int) -> DataFrame:
+    counted = coded.groupBy(*features, "_label").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = counted.withColumn("_hash", F.xxhash64(F.lit(seed), *features)).withColumn(
+        "_slice", F.shiftright("_hash", _SLICE_SHIFT)
+    )
+    earlier = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        hashed.groupBy("_label", "_slice")
+        .agg(F.sum("_n").alias("_rows"))
+        .select("_label", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    )
+    inside = (
+        Window.partitionBy("_label", "_slice")
+        .orderBy("_hash", *features)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = hashed.withColumn("_within", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    first = F.col("_start") + F.col("_within")
+
+    def dealt_before(place: Column, fold: Column) -> Column:
+        """Rows of the class before a place that are in the fold."""
+        turn = F.pmod(fold - F.col("_label").cast("int"), F.lit(folds))
+        return F.floor((place + folds - 1 - turn) / F.lit(folds))
+
+    fold = F.col("fold")
+    return (
+        placed.join(offsets, ["_label", "_slice"])
+        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+        .withColumn("weight", dealt_before(first + F.col("_n"), fold) - dealt_before(first, fold))
+        .where("weight > 0")
+        .select(*features, "_label", "fold", F.col("weight").cast("double").alias("weight"))
+    )
 
 
 def grid_search(
@@ -203,26 +339,45 @@ def grid_search(
     folds: int = 5,
     seed: int = 0,
 ) -> tuple[PipelineModel, DataFrame]:
-    """The surrogate tree of best cross-validated accuracy, and the result table."""
-    rows = _tree_inputs(features).transform(_tree_rows(steps, features))
+    """The surrogate tree of best cross-validated accuracy, and the result table.
+
+    Folds are stratified and the same for every depth. The first of equally good depths
+    is the best.
+    """
+    known = skip_invalid(steps, [*features, "CLUSTER"])
+    classes = _classes(known, "CLUSTER")
+    dealt = materialize(_dealt(_coded(known, features, "CLUSTER", classes), features, folds, seed))
+    attribute = {"name": "_label", "type": "nominal", "num_vals": max(2, len(classes))}
+    label = F.col("_label").alias("_label", metadata={"ml_attr": attribute})
+    rows = _tree_inputs(features).transform(dealt).select("_features", label, "weight", "fold")
     tree = DecisionTreeClassifier(
-        featuresCol="_features", labelCol="_label", predictionCol="_prediction"
+        featuresCol="_features",
+        labelCol="_label",
+        rawPredictionCol="_raw",
+        probabilityCol="_probability",
+        predictionCol="_prediction",
+        weightCol="weight",
     )
     grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).build()
     evaluator = MulticlassClassificationEvaluator(
-        labelCol="_label", predictionCol="_prediction", metricName="accuracy"
+        labelCol="_label", predictionCol="_prediction", weightCol="weight", metricName="accuracy"
     )
     search = CrossValidator(
-        estimator=tree, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, seed=seed
-    ).fit(rows.select("_features", "_label"))
-    best = max(search.avgMetrics)
+        estimator=tree,
+        estimatorParamMaps=grid,
+        evaluator=evaluator,
+        numFolds=folds,
+        foldCol="fold",
+        seed=seed,
+    ).fit(rows)
+    best = search.avgMetrics.index(max(search.avgMetrics))
     table = [
-        (depth, float(mean), float(std), bool(mean == best))
-        for depth, mean, std in zip(depths, search.avgMetrics, search.stdMetrics)
+        (depth, float(mean), float(std), place == best)
+        for place, (depth, mean, std) in enumerate(zip(depths, search.avgMetrics, search.stdMetrics))
     ]
     schema = "max_depth int, mean_accuracy double, std_accuracy double, best boolean"
     return (
-        PipelineModel(stages=[_tree_inputs(features), search.bestModel]),
+        PipelineModel(stages=[_tree_inputs(features), search.bestModel, _dictionary(classes)]),
         steps.sparkSession.createDataFrame(table, schema),
     )
 
@@ -230,11 +385,15 @@ def grid_search(
 def tree_rules(model: PipelineModel, steps: DataFrame) -> DataFrame:
     """The rules of a surrogate tree, one row per line, in reading order."""
     features = model.stages[0].getInputCols()
-    lines = model.stages[-1].toDebugString.splitlines()[1:]
+    classes = class_list(model)
+    lines = model.stages[1].toDebugString.splitlines()[1:]
     rules = []
     for line in lines:
         text = line.strip()
         if text:
             named = re.sub(r"feature (\d+)", lambda m: features[int(m.group(1))], text)
+            named = re.sub(
+                r"^Predict: (\d+)\.0$", lambda m: f"Predict: {float(classes[int(m.group(1))])}", named
+            )
             rules.append((len(rules), len(line) - len(line.lstrip()), named))
     return steps.sparkSession.createDataFrame(rules, "line int, indent int, rule string")

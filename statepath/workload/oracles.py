@@ -757,7 +757,21 @@ oracle(
 oracle(
     "grid_search",
     """SELECT CAST(unnest([3, 4]) AS INT) AS max_depth, CAST(1 AS DOUBLE) AS mean_accuracy,
-    CAST(0 AS DOUBLE) AS std_accuracy""",
+    CAST(0 AS DOUBLE) AS std_accuracy, unnest([true, false]) AS best""",
+)
+oracle(
+    "stratified_folds",
+    f"""SELECT CAST(place AS INT) AS place, CAST(fold AS INT) AS fold,
+    n // 5 + CASE WHEN (fold - place + 5) % 5 < n % 5 THEN 1 ELSE 0 END AS cnt
+    FROM (SELECT {SOFA} AS place, count(*) AS n FROM raw_steps
+      WHERE {SOFA} IS NOT NULL AND value IS NOT NULL GROUP BY 1), range(5) t(fold)""",
+)
+oracle(
+    "forest_sparse_classes",
+    f"""SELECT ID, TIME, CAST(s * 1000000 - 7 AS INT) AS prediction,
+    CAST(c * 1000000 - 7 AS INT) AS class, CAST(c = s AS DOUBLE) AS p FROM
+    (SELECT ID, TIME, {SOFA} AS s FROM raw_steps) JOIN range(4) t(c) ON s IS NOT NULL
+    UNION ALL SELECT ID, TIME, NULL, NULL, NULL FROM raw_steps WHERE {SOFA} IS NULL""",
 )
 oracle(
     "tree_rules",

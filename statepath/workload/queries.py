@@ -902,7 +902,28 @@ def surrogate_tree(spark, sf):
 
 @query
 def grid_search(spark, sf):
-    return forest.grid_search(sofa_states(spark, sf), ["total_sofa"], depths=[3, 4])[1].drop("best")
+    return forest.grid_search(sofa_states(spark, sf), ["total_sofa"], depths=[3, 4])[1]
+
+
+@query
+def stratified_folds(spark, sf):
+    """Rows of each class in each fold; the classes are sparse and one is negative."""
+    steps = sofa_steps(spark, sf).withColumn("CLASS", F.col("CLASS") * 1_000_000 - 7)
+    folds = forest.stratified_folds(steps, ["k", "value"], "CLASS")
+    return folds.groupBy(F.col("_label").cast("int").alias("place"), "fold").agg(
+        F.sum("weight").cast("long").alias("cnt")
+    )
+
+
+@query
+def forest_sparse_classes(spark, sf):
+    """Predicted labels and class lists of a forest on sparse and negative labels."""
+    rows = sofa_steps(spark, sf).withColumn("CLASS", F.col("CLASS") * 1_000_000 - 7)
+    model = forest.forest_fit(rows, ["total_sofa"], "CLASS", 20, 5)
+    scored = forest.forest_class_probabilities(model, forest.forest_predict(model, rows))
+    return scored.select("ID", "TIME", "prediction", F.inline_outer("classes")).select(
+        "ID", "TIME", "prediction", "class", F.round("p", 6).alias("p")
+    )
 
 
 @query

@@ -219,3 +219,63 @@ def test_more_than_a_hundred_classes(spark):
     assert forest.class_count(model) == 120
     tree = forest.surrogate_tree(rows_.withColumn("CLUSTER", F.col("x")), ["x"], 10)
     assert forest.forest_predict(tree, rows_).where("prediction is null").isEmpty()
+
+
+def test_sparse_and_negative_classes(spark, tmp_path):
+    data = spark.createDataFrame(
+        [(float(x % 3), [-5, 7, 1_000_000][x % 3]) for x in range(60)], "x double, y int"
+    )
+    model = forest.forest_fit(data, ["x"], "y", 5, 3)
+    assert forest.class_list(model) == [-5, 7, 1_000_000]
+    assert forest.forest_predict(model, data).where("prediction <> y").isEmpty()
+    with pytest.raises(ValueError, match="negative"):
+        forest.forest_predict_proba(model, data)
+    scored = forest.forest_class_probabilities(model, data)
+    right = F.filter("classes", lambda c: c["class"] == F.col("y"))
+    assert scored.where((F.size("classes") != 3) | (F.get(right, F.lit(0))["p"] < 0.9)).isEmpty()
+    model.write().save(str(tmp_path / "model"))
+    again = type(model).load(str(tmp_path / "model"))
+    assert forest.class_list(again) == [-5, 7, 1_000_000]
+
+
+def test_a_single_class(spark):
+    data = spark.createDataFrame([(float(x), 4) for x in range(20)], "x double, y int")
+    model = forest.forest_fit(data, ["x"], "y", 3, 3)
+    scored = forest.forest_predict_proba(model, forest.forest_predict(model, data))
+    assert rows(scored.select("prediction", "prob").distinct()) == [(4, [0.0, 0.0, 0.0, 0.0, 1.0])]
+
+
+def test_labels_no_forest_can_take(spark):
+    with pytest.raises(ValueError, match="whole"):
+        forest.forest_fit(spark.createDataFrame([(1.0, 0.5)], "x double, y double"), ["x"], "y")
+    with pytest.raises(ValueError, match="no row"):
+        forest.forest_fit(spark.createDataFrame([], "x double, y int"), ["x"], "y")
+
+
+def test_a_thousand_classes(spark):
+    data = materialize(spark.range(4_000).select((F.col("id") % 1_000 * 3 - 9).cast("int").alias("x")))
+    model = forest.forest_fit(data.withColumn("y", F.col("x")), ["x"], "y", 1, 4)
+    assert forest.class_list(model) == list(range(-9, 2_991, 3))
+
+
+def test_folds_are_stratified_and_repeatable(spark):
+    """A third of the rows are one row, classes are uneven, one has a single row."""
+    plain = [(float(x % 97), [0, 0, 0, 4, 9][x % 5]) for x in range(600)]
+    data = spark.createDataFrame([*plain, *[(5.0, 0)] * 300, (1.0, 77)], "x double, y int")
+    dealt = forest.stratified_folds(data, ["x"], "y", 5)
+    sizes = {}
+    for place, fold, n in rows(dealt.groupBy("_label", "fold").agg(F.sum("weight"))):
+        sizes.setdefault(place, [0] * 5)[fold] += n
+    assert {k: sum(v) for k, v in sizes.items()} == {0: 660, 1: 120, 2: 120, 3: 1}
+    assert all(max(v) - min(v) <= 1 for v in sizes.values())
+    moved = forest.stratified_folds(data.repartition(7), ["x"], "y", 5)
+    assert rows(moved, "x", "_label", "fold") == rows(dealt, "x", "_label", "fold")
+    other = forest.stratified_folds(data, ["x"], "y", 5, seed=1)
+    assert rows(other, "x", "_label", "fold") != rows(dealt, "x", "_label", "fold")
+
+
+def test_rules_name_the_labels(spark):
+    data = spark.createDataFrame([(float(x), [3, 40][x > 9]) for x in range(20)], "x double, CLUSTER int")
+    for model in (forest.surrogate_tree(data, ["x"]), forest.grid_search(data, ["x"])[0]):
+        said = {r.rule for r in forest.tree_rules(model, data).collect() if "Predict" in r.rule}
+        assert said == {"Predict: 3.0", "Predict: 40.0"}
