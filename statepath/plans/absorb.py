@@ -1,11 +1,13 @@
 """Probability of ending in each absorbing state.
 
-The state-to-state matrix is squared until the mass still on the move is below
-the tolerance: k rounds look 2^k steps ahead. Mass is on the move in states that
-are no end but can reach one. Matrices of at most ``FOLD_STATES`` states are
-squared inside one expression, one row per process; larger ones by self-joins.
-Rows are scaled to 1 after each round, so that rounding does not add up. A matrix
-that has not settled after 2^ROUNDS steps is an error, never a short answer.
+States of large processes are eliminated (see ``eliminate``) until few are left or
+the rest is dense. That rest, as every small matrix, is squared until the mass still
+on the move is below the tolerance: k rounds look 2^k steps ahead. Mass is on the
+move in states that are no end but can reach one. Matrices of at most
+``FOLD_STATES`` states are squared inside one expression, one row per process; dense
+ones by self-joins. Rows are scaled to 1 after each round, so that rounding does not
+add up. A matrix that has not settled after 2^ROUNDS steps is an error, never a
+short answer.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statepath.operators.decision import chain_steps, find_absorbing
+from statepath.plans.eliminate import eliminate_states
 from statepath.storage import materialize
 
 FOLD_STATES = 64
@@ -169,7 +172,23 @@ def absorption_probabilities(
     matrix = materialize(matrix)
     refuse_invalid(matrix, by)
     absorbing = materialize(find_absorbing(matrix, tol, by))
-    widest = _states(matrix, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if _widest(matrix, by) <= fold_states:
+        return _squared(matrix, absorbing, tol, by, rounds, fold_states)
+
+    def solve_rest(rest: DataFrame) -> DataFrame:
+        ends = rest.where("CLUSTER = NEXT_CLUSTER").select(*by, "CLUSTER")
+        return _squared(rest, ends, tol, by, rounds, fold_states)
+
+    return eliminate_states(matrix, absorbing, by, solve_rest, fold_states)
+
+
+def _widest(matrix: DataFrame, by: Sequence[str]) -> int:
+    """The largest number of states of a process."""
+    return _states(matrix, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def _squared(matrix, absorbing, tol, by, rounds, fold_states) -> DataFrame:
+    widest = _widest(matrix, by)
     if widest <= fold_states:
         packed = _pack(matrix, absorbing, by)
         squared = materialize(_fold_squares(packed, tol, rounds))

@@ -654,6 +654,10 @@ oracle(
     "absorption_probabilities",
     "SELECT CLUSTER, END_STATE, round(prob, 6) AS prob FROM absorbed",
 )
+oracle(
+    "absorption_by_elimination",
+    "SELECT CLUSTER, END_STATE, round(prob, 6) AS prob FROM absorbed",
+)
 oracle(
     "absorption_after_action",
     """SELECT CLUSTER, ACTION, END_STATE, round(prob, 6) AS prob FROM absorbed_after

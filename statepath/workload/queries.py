@@ -1037,6 +1037,13 @@ def absorption_probabilities_query(spark, sf):
     return rounded(absorption_probabilities(solved_matrix(spark, sf)[2]), "prob")
 
 
+@query
+def absorption_by_elimination(spark, sf):
+    """The same by eliminating states, as large processes are solved."""
+    matrix = solved_matrix(spark, sf)[2]
+    return rounded(absorption_probabilities(matrix, fold_states=0), "prob")
+
+
 def after_action(spark: SparkSession, sf: str) -> DataFrame:
     p, ends, matrix = solved_matrix(spark, sf)
     return decision.absorption_after_action(p, absorption_probabilities(matrix), ends)

@@ -1,5 +1,6 @@
 """What a size check decides must not change results: both branches on awkward rows."""
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.errors import SparkRuntimeException
@@ -65,6 +66,62 @@ def test_absorption_along_a_chain_and_in_several_models(spark, fold_states):
     assert shown["n", 0, 1] == 1
 
 
+def test_absorption_along_a_long_chain_needs_few_rounds_and_no_square_table(spark, monkeypatch):
+    """Each state of a chain moves on or leaks; nothing is squared until few states are left."""
+    from statepath.plans import eliminate
+
+    turns = []
+    keep = eliminate._scaled
+    monkeypatch.setattr(eliminate, "_scaled", lambda *a: turns.append(1) or keep(*a))
+    monkeypatch.setattr(absorb, "square_matrix", lambda *a: pytest.fail("squared by joins"))
+    n = 20_000
+    up, leak = 1 - 1e-4, 1e-4
+    state = F.col("id").cast("int")
+    chain = spark.range(n)
+    parts = [
+        chain.select(state, (state + 1), F.lit(up)),
+        chain.select(state, F.lit(n + 1), F.lit(leak)),
+        spark.range(n, n + 2).select(state, state, F.lit(1.0)),
+    ]
+    matrix = parts[0].union(parts[1]).union(parts[2]).toDF("CLUSTER", "NEXT_CLUSTER", "prob")
+    found = absorb.absorption_probabilities(matrix)
+    expected = F.pow(F.lit(up), F.lit(n) - F.col("CLUSTER"))
+    wanted = F.when(F.col("END_STATE") == n, expected).otherwise(1 - expected)
+    inner = found.where(F.col("CLUSTER") < n)
+    assert inner.count() == 2 * n and found.count() == 2 * n + 2
+    assert inner.where(F.abs(F.col("prob") - wanted) > 1e-9).isEmpty()
+    assert len(turns) < 40
+
+
+@pytest.mark.parametrize("fold_states", [0, 12, 64])
+def test_absorption_of_random_processes_equals_a_linear_solve(spark, fold_states):
+    """Two models with loops, slow leaks, closed circles and states that only loop back."""
+    rng = np.random.default_rng(5)
+    wanted, cells = {}, []
+    for model, size in (("m", 40), ("n", 25)):
+        p = np.zeros((size, size))
+        for s in range(size - 6):
+            targets = rng.choice(size, 3, replace=False)
+            p[s, targets] = rng.random(3) + 0.01
+            p[s, s] += rng.choice([0.0, 1.0, 1e6])
+            p[s] /= p[s].sum()
+        p[size - 6, size - 5] = p[size - 5, size - 6] = 1
+        for s in range(size - 4, size):
+            p[s, s] = 1
+        inner = np.arange(size - 6)
+        ends = np.arange(size - 4, size)
+        answer = np.linalg.solve(np.eye(size - 6) - p[np.ix_(inner, inner)], p[np.ix_(inner, ends)])
+        wanted |= {(model, int(s), int(e)): answer[s, j] for s in inner for j, e in enumerate(ends)}
+        wanted |= {(model, int(e), int(e)): 1.0 for e in ends}
+        cells += [(model, int(a), int(b), float(p[a, b])) for a, b in zip(*p.nonzero())]
+    matrix = spark.createDataFrame(cells, "model string, CLUSTER int, NEXT_CLUSTER int, prob double")
+    found = absorb.absorption_probabilities(matrix, by=["model"], fold_states=fold_states)
+    shown = {(r.model, r.CLUSTER, r.END_STATE): r.prob for r in found.collect()}
+    assert shown.keys() <= wanted.keys()
+    for key, value in wanted.items():
+        assert shown.get(key, 0.0) == pytest.approx(value, abs=1e-8)
+
+
 def test_absorption_refuses_invalid_matrices(spark):
     for bad in ([(0, 1, 1.0)], [(0, 0, 0.5)], [(0, 0, 1.5), (0, 1, -0.5), (1, 1, 1.0)]):
         matrix = spark.createDataFrame(bad, "CLUSTER int, NEXT_CLUSTER int, prob double")
