@@ -42,7 +42,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, by 4/5 of the shingles of five words, the one with the least doc_id.
+    """Of near duplicates the one with the least doc_id.
+
+    SimHash finds them, an exact check of 4/5 of the shingles of five words decides, and
+    pairs whose fingerprints differ too much are found by their rare shingles.
 
     Rows that share this id stay together; texts without words are one group.
     """

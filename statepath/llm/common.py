@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statepath.storage import materialize
+from statepath.storage import BROADCAST_VALUES, fits_broadcast, materialize
 
 # Text bytes a task works on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 19
@@ -270,6 +270,39 @@ def attach_groups(
     return rows.join(groups, match, how).drop(salt, own, other)
 
 
+def attach_few_groups(
+    rows: DataFrame,
+    groups: DataFrame,
+    key: str,
+    size: str,
+    spread_by: Column,
+    how: str = "left",
+    limit: int = BROADCAST_VALUES,
+) -> DataFrame:
+    """:func:`attach_groups` for wide rows, most of which have no group.
+
+    Hashes of the keys of ``groups``, written already, are broadcast if there are at most
+    ``limit``. Rows whose hash is not among them have no group for certain and pass by the
+    join, so they are not shuffled; colliding hashes only cost a row's shuffle.
+    """
+    sizes = groups.select(key, size)
+    if not fits_broadcast(groups, limit=limit):
+        return attach_groups(rows, groups, key, size, spread_by, how, sizes)
+    values = [c for c in groups.columns if c != key]
+    rows = rows.drop(*values)
+    hashed = free_name("key_hash", [*rows.columns, *values])
+    listed = F.broadcast(groups.select(F.xxhash64(key).alias(hashed)).distinct())
+    marked = rows.withColumn(hashed, F.xxhash64(key))
+    possible = marked.join(listed, hashed, "left_semi").drop(hashed)
+    found = attach_groups(possible, groups, key, size, spread_by, how, sizes)
+    if how != "left":
+        return found
+    others = marked.join(listed, hashed, "left_anti").drop(hashed)
+    kinds = {f.name: f.dataType for f in groups.schema}
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in values]
+    return found.unionByName(others.select(*rows.columns, *none))
+
+
 def bounded_sample(rows: DataFrame, label: str, limit: int, order_by: str) -> DataFrame:
     """At most ``limit`` rows of each label, chosen by a hash of ``order_by`` alone.
 

@@ -1,16 +1,20 @@
-"""Near duplicates by the exact similarity of their word shingles.
-
-Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at
-least 4/5. Candidates come from prefix filtering: put the shingles of all texts in one
-order; two linked texts of n and at most n shingles share one among the first
-n - ceil(4n/5) + 1 of each, whatever the order. So no linked pair is missed, unlike with
-fingerprints, and each candidate is verified on the whole sets before it becomes an edge.
+"""Near duplicates by SimHash, with an exact check of the word shingles.
+
+Texts are fingerprinted and fingerprints of at most three differing bits are found by
+``simhash``; such texts are candidates. Two texts are linked if their sets of five-word
+shingles have a Jaccard similarity of at least 4/5, which each candidate is tested for on
+the whole sets before it becomes an edge. Edited texts often differ in more bits than
+that and still have this similarity. For them there is an exact way besides, prefix
+filtering: put the shingles of all texts in one order; two linked texts of n and at most
+n shingles share one among the first n - ceil(4n/5) + 1 of each, whatever the order. So no
+linked pair is missed.
 The order puts shingles that many texts share last, which keeps the groups under a key
 small; how often they occur is estimated on a sample, as any order gives the same links.
 
 Equal texts are one node, known by their MD5. Keys under which a node is alone are dropped
-by the first join. Under each other key, every node is first compared with one hub, the
-same for many keys, and what that links is contracted, ``ROUNDS`` times with other hubs:
+by the first join. Every node is first compared with the least node that fingerprints
+reach and, under each key, with one hub, the same for many keys. What that links is
+contracted, the hubs' part ``ROUNDS`` times with other hubs:
 of a large group of near copies little is left then. Nodes of a key that are in different
 components are compared in pairs, dealt into cells of at most about ``CELL`` by ``CELL``
 nodes, so that no task holds more. Before sets are compared, pairs go through two bounds
@@ -30,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import add_columns, attach_groups, free_name, mix, set_aside, utf8
+from statepath.llm.common import add_columns, attach_few_groups, attach_groups, free_name, mix, set_aside, utf8
 from statepath.llm.components import components
-from statepath.llm.simhash import name_components, shingle_hashes
+from statepath.llm.simhash import add_fingerprints, find_links, name_components, shingle_hashes
 from statepath.storage import Scratch, materialize
 
 SHINGLE = 5
@@ -108,7 +112,7 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read_texts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``texts`` (content, digest) with size, sketch and the keys of each set."""
+    """``texts`` (content, digest) with print_0, size, sketch and the keys of each set."""
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
 
     def keys_of(own: np.ndarray) -> np.ndarray:
@@ -133,7 +137,8 @@ def read_texts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         }
 
     results = {"size": "long", "keys": "array<long>", "bits": "array<long>"}
-    return add_columns(texts, compute, results, "content", ("content",))
+    printed = add_fingerprints(texts, "content").drop("node")
+    return add_columns(printed, compute, results, "content", ("content",))
 
 
 class _Search:
@@ -150,11 +155,38 @@ class _Search:
             self.read.groupBy("digest").agg(
                 F.min("node").alias("node"), F.min("id").alias("least_id"),
                 F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("bits").alias("bits"),
+                F.first("print_0").alias("print_0"),
             )
         )
         self.repeats = not self.nodes.where("n_rows > 1").isEmpty()
         self.sets: DataFrame | None = None
 
+    def close_pairs(self) -> DataFrame:
+        """Pairs (a, b): each node that fingerprints link to others, and the least of these."""
+        own = self.keep(
+            self.nodes.groupBy("print_0").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+        )
+        reached = components(find_links(own, keep=self.keep), "a", "b").withColumnRenamed("node", "print_0")
+        rooted = self.keep(
+            own.join(reached, "print_0", "left").withColumn("print_root", F.coalesce("root", "print_0"))
+        )
+        hubs = self.keep(
+            rooted.groupBy("print_root").agg(
+                F.min("least").alias("hub"), F.sum("n").alias("n_nodes"), F.count(F.lit(1)).alias("n_prints")
+            )
+        )
+        several = self.keep(hubs.where("n_nodes > 1"))
+        named = attach_groups(
+            rooted.select("print_root", "print_0", "n"), several, "print_root", "n_prints",
+            F.col("print_0"), "inner", several.select("print_root", "n_prints"),
+        )
+        groups = self.keep(named.select("print_0", "n", "hub"))
+        nodes = self.nodes.select("print_0", "node")
+        joined = attach_groups(nodes, groups, "print_0", "n", F.col("node"), "inner", groups.select("print_0", "n"))
+        pairs = self.keep(joined.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        self.scratch.drop(own, rooted, hubs, several, groups)
+        return pairs
+
     def index(self) -> DataFrame:
         """(key, node, n, hub): each node under its keys, where it is not alone."""
         read = self.read
@@ -180,8 +212,7 @@ class _Search:
             ends = ends.join(self.sets.select("node"), "node", "left_anti")
         wanted = self.keep(self.nodes.join(ends, "node", "left_semi").select("digest", "node", "n_rows"))
         rows = self.texts.select("content", "digest", "id")
-        sizes = wanted.select("digest", "n_rows")
-        named = attach_groups(rows, wanted, "digest", "n_rows", F.col("id"), "inner", sizes)
+        named = attach_few_groups(rows, wanted, "digest", "n_rows", F.col("id"), "inner")
         sets = _sets(named.select("node", "content"), self.shingle)
         if self.repeats:
             sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -277,14 +308,17 @@ class _Search:
 
     def roots(self, rounds: int) -> DataFrame:
         """(node, root) of every node that a link reaches."""
-        live = self.index()
+        live, close = self.index(), self.close_pairs()
         info, roots = self.with_roots(None), None
         for turn in range(rounds + 1):
             if turn == rounds:
                 pairs = self.other_pairs(live, info)
             else:
                 hubs = live.where(F.col("node") != F.col("hub"))
-                pairs = self.keep(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+                pairs = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+                if not turn:
+                    pairs = pairs.union(close)
+                pairs = self.keep(pairs.distinct())
             edges = self.linked(pairs, info)
             if roots is not None:
                 edges = edges.union(roots.select("node", "root"))
@@ -351,7 +385,7 @@ def similar_groups(
     marked = free_name("grouped", docs.columns)
     groups = groups.withColumnRenamed("grouped", marked)
     rows = docs.drop("component_id").withColumn(key, digest)
-    found = attach_groups(rows, groups, key, size, F.col(row_id), sizes=groups.select(key, size))
+    found = attach_few_groups(rows, groups, key, size, F.col(row_id))
     component = F.when(F.col(marked), F.col("component_id")).otherwise(F.col(row_id))
     return found.withColumn("component_id", component).drop(key, size, marked)
 

@@ -2,8 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from statepath.llm import similar
+import corpus_pipeline
+from statepath.llm import similar, simhash
+from statepath.llm.common import attach_few_groups
+from statepath.storage import Scratch, materialize
 
 
 def shingles(text):
@@ -82,3 +86,45 @@ def test_large_groups_and_common_passages(spark, cell):
     found = found_groups(spark, docs, cell=cell)
     assert found == plain_groups(docs)
     assert len({found[200 + i] for i in range(12)}) == 1 and len({found[100 + i] for i in range(40)}) == 40
+
+
+def test_simhash_gives_candidates(spark, monkeypatch):
+    # one more occurrence of a shingle of many turns few bits
+    draw = np.random.default_rng(7)
+    words = [[f"s{draw.integers(50_000)}" for _ in range(300)] for _ in range(8)]
+    docs = [(2 * k, " ".join(w)) for k, w in enumerate(words)]
+    docs += [(2 * k + 1, " ".join([*w, "end"])) for k, w in enumerate(words)]
+    docs += [(100, None), (101, ""), (102, " \n")]
+    prints = {i: simhash.fingerprints((t or "").encode())[0] for i, t in docs}
+    linked = {i: {j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3} for i in prints}
+    assert any(len(linked[2 * k]) > 1 for k in range(8))
+    assert any(prints[2 * k] != prints[2 * k + 1] for k in range(8))
+    frame = spark.createDataFrame(docs, "id long, content string")
+    texts = frame.withColumn("digest", F.md5(F.coalesce("content", F.lit(""))))
+    with Scratch(spark) as scratch:
+        search = similar._Search(texts, 5, 1_024, scratch)
+        ids = {r.node: r.least_id for r in search.nodes.collect()}
+        pairs = [(ids[p.a], ids[p.b]) for p in search.close_pairs().collect()]
+    # here links make no chains; 100 and 101 are one node
+    texts = {i: j for i, j in linked.items() if i in ids.values()}
+    expected = {i: j & set(ids.values()) for i, j in texts.items() if len(j & set(ids.values())) > 1}
+    assert {i for pair in pairs for i in pair} == set(expected)
+    assert len(pairs) == len({frozenset(j) for j in expected.values()}) and all(a in linked[b] for a, b in pairs)
+
+    seen, find = [], similar.find_links
+    monkeypatch.setattr(similar, "find_links", lambda *a, **k: seen.append(1) or find(*a, **k))
+    kept = corpus_pipeline.drop_near_copies(spark, frame.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), "")
+    assert seen and {r.doc_id for r in kept.collect()} == {i for i, root in plain_groups(docs).items() if i == root}
+
+
+def test_rows_without_a_group_pass_by_the_join(spark):
+    rows = spark.createDataFrame([(i, None if i == 5 else f"k{i % 40}") for i in range(200)], "id long, key string")
+    groups = materialize(
+        spark.createDataFrame([("k3", 5, "x"), ("k4", 5, None), ("gone", 2, "y")], "key string, n long, value string")
+    )
+    for how in ("left", "inner"):
+        expected = sorted(map(str, rows.join(groups, "key", how).select("id", "key", "n", "value").collect()))
+        for limit in (1, 3):
+            found = attach_few_groups(rows, groups, "key", "n", F.col("id"), how, limit)
+            assert found.columns == ["id", "key", "n", "value"]
+            assert sorted(map(str, found.collect())) == expected
