@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import attach_groups, set_aside, shared_files, ship_code
+from statepath.llm.common import attach_few_groups, set_aside, shared_files, ship_code
 from statepath.storage import materialize, new_path
 
 # Bytes of different texts that a bucket holds before it splits.
@@ -220,9 +220,9 @@ def mark_copies(
     groups in which no row has an id, are marked kept together. Columns with a result's
     name are replaced.
     """
-    groups = copy_groups(docs, row_id, text, bucket_bytes)
+    groups = materialize(copy_groups(docs, row_id, text, bucket_bytes))
     rows = docs.drop("kept").withColumn("text_sha256", F.sha2(_content(text), 256))
-    marked = attach_groups(rows, groups, "text_sha256", "group_size", F.col(row_id))
+    marked = attach_few_groups(rows, groups, "text_sha256", "group_size", F.col(row_id))
     alone = F.col("group_size").isNull()
     return (
         marked.withColumn("keep_id", F.when(alone, F.col(row_id)).otherwise(F.col("keep_id")))

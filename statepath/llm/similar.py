@@ -225,6 +225,8 @@ class _Search:
         sizes = self.keep(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
         other = "b" if end == "a" else "a"
         groups = table.select(F.col("node").alias(end), *[c.alias(n) for n, c in columns.items()])
+        # sets and sketches are wide: never through the driver, also where they are few
+        groups = groups.hint("shuffle_merge")
         joined = attach_groups(pairs, groups, end, "n", F.col(other), "inner", sizes)
         self.scratch.drop(sizes)
         return joined

@@ -202,3 +202,17 @@ def test_columns_with_working_names_stay(spark):
     for mark in (exact_dedup.mark_copies, simhash.near_groups, similar.similar_groups):
         found = mark(docs).select("doc_id", "text", *names).collect()
         assert sorted(map(tuple, found)) == rows
+
+
+def test_rows_without_copies_are_not_shuffled(spark):
+    rows = [(i, f"text {i} " + "word " * 50, "k") for i in range(400)]
+    rows.append((1_000, rows[7][1], "k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = exact_dedup.remove_copies(frame(spark, rows))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.doc_id for r in kept.collect()} == {*range(400), 1_000} - {7}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "LeftSemi" in plan
