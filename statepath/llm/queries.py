@@ -266,8 +266,7 @@ FROM shown GROUP BY conv_id
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(docs, path, keep_text=False)
-    decoded = sentencepiece_bpe.decode(encoded, path)
+    decoded = sentencepiece_bpe.round_trip(docs, path, keep_text=False)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

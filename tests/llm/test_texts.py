@@ -10,6 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from statepath.llm import chat, decontamination, sentencepiece_bpe, token_counts, url_filter
+from statepath.llm.queries import QUERIES
 
 TEXTS = [
     None, "", " ", "  two  spaces ", "a\n\n\tb  ", "<|endoftext|>a<|endoftext|>", "</s><s>[INST]",
@@ -224,3 +225,11 @@ def test_rules_are_filed_under_their_rarest_token():
     assert [r.name for r, _ in index.by_token["com"]] == ["example.com/de/"]
     assert [r.name for r, _ in index.always] == [".../"]
     assert "open" not in index.by_token
+
+
+def test_sentencepiece_query_hands_texts_to_python_once(spark, tmp_path):
+    rows = [(1, "One two  three"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op8_sentencepiece"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id for r in found.collect()} == {1, 2, 3}
