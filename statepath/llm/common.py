@@ -238,11 +238,8 @@ def attach_groups(
         groups = keep(groups)
         sizes = groups.select(key, size)
     total, most = sizes.agg(F.sum(size), F.max(size)).first()
-    hot, limit = [], max(COLD_ROWS, (total or 0) / HOT_KEYS)
-    if most is not None and most > limit:
-        hot = sizes.where(F.col(size) > limit).select(
-            F.col(key), F.ceil(F.col(size) / limit).cast("int")
-        ).collect()
+    limit = max(COLD_ROWS, (total or 0) / HOT_KEYS)
+    hot = most is not None and most > limit
     values = [c for c in groups.columns if c != key]
     rows = rows.drop(*values)
     taken = [*rows.columns, *values]
@@ -251,9 +248,11 @@ def attach_groups(
     match = F.col(key) == F.col(own)
     if hot:
         named, salts = (free_name(n, taken) for n in ("_hot_key", "_salts"))
-        kind = rows.schema[key].dataType
-        schema = T.StructType([T.StructField(named, kind), T.StructField(salts, T.IntegerType())])
-        listed = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
+        listed = sizes.where(F.col(size) > limit).select(
+            F.col(key).alias(named), F.ceil(F.col(size) / limit).cast("int").alias(salts)
+        )
+        # as Arrow: rows given as Python objects would start workers of their own
+        listed = F.broadcast(rows.sparkSession.createDataFrame(listed.toArrow()))
         rows = rows.join(listed, F.col(key) == F.col(named), "left").withColumn(
             salt, F.coalesce(F.pmod(F.xxhash64(spread_by), F.col(salts)), F.lit(0))
         )

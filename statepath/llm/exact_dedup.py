@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import attach_few_groups, set_aside, shared_files, ship_code
+from statepath.llm.common import attach_few_groups, let_go, set_aside, shared_files, ship_code
 from statepath.storage import materialize, new_path
 
 # Bytes of different texts that a bucket holds before it splits.
@@ -139,6 +139,7 @@ def write_index(docs: DataFrame, directory: Directory, row_id: str, text: str) -
                 ],
                 names=["bucket", "hash", "text", "n", "last_id"],
             )
+        let_go()
 
     keyed = docs.select(
         F.xxhash64(_content(text)).alias("hash"),
@@ -205,6 +206,7 @@ def copy_groups(
                 [pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(last, pa.int64())],
                 names=["text_sha256", "group_size", "keep_id"],
             )
+        let_go()
 
     buckets = len(directory.local_depth)
     owners = spark.range(0, buckets, 1, buckets)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statepath.llm.common import add_columns, attach_groups, free_name, mix, ship_code, utf8
+from statepath.llm.common import add_columns, attach_groups, free_name, let_go, mix, ship_code, utf8
 from statepath.llm.components import components
 from statepath.storage import Scratch, materialize
 
@@ -105,6 +105,20 @@ def node_of(prints: np.ndarray) -> np.ndarray:
     return found
 
 
+def prints_of(texts: pa.Array, shingle: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """The fingerprints of each text of a batch, a row each; a null counts as empty."""
+    data, offsets = utf8(texts)
+    raw = data.tobytes()
+    known: dict[bytes, list[int]] = {}
+    found = np.zeros((len(texts), prints), np.uint64)
+    for i in range(len(texts)):
+        own = raw[offsets[i] : offsets[i + 1]]
+        if own not in known:
+            known[own] = fingerprints(own, shingle, prints)
+        found[i] = known[own]
+    return found
+
+
 def add_fingerprints(
     docs: DataFrame,
     text: str = "text",
@@ -115,15 +129,7 @@ def add_fingerprints(
     """``docs`` with print_0, ... and node as (signed) longs; a null text counts as empty."""
 
     def compute(piece: pa.RecordBatch) -> dict:
-        data, offsets = utf8(piece.column(text))
-        raw = data.tobytes()
-        known: dict[bytes, list[int]] = {}
-        found = np.zeros((piece.num_rows, scheme.prints), np.uint64)
-        for i in range(piece.num_rows):
-            own = raw[offsets[i] : offsets[i + 1]]
-            if own not in known:
-                known[own] = fingerprints(own, shingle, scheme.prints)
-            found[i] = known[own]
+        found = prints_of(piece.column(text), shingle, scheme.prints)
         columns = [*found.T, node_of(found)]
         return dict(zip(names, (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns)))
 
@@ -168,6 +174,7 @@ def _explode(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.view(np.int64)) for x in columns], names=names
                 )
+        let_go()
 
     return rows.mapInArrow(explode, ", ".join(f"{c} long" for c in names))
 
@@ -300,6 +307,8 @@ def _links(
         if len(held[0]):
             yield from close(trees, held)
         yield out(False, stars(trees))
+        del trees, held
+        let_go()
 
     return keyed.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from statepath.llm.common import add_columns, attach_few_groups, attach_groups, free_name, mix, set_aside, utf8
 from statepath.llm.components import components
-from statepath.llm.simhash import add_fingerprints, find_links, name_components, shingle_hashes
+from statepath.llm.simhash import CLOSE, find_links, name_components, prints_of, shingle_hashes
 from statepath.storage import Scratch, materialize
 
 SHINGLE = 5
@@ -112,7 +112,10 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read_texts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``texts`` (content, digest) with print_0, size, sketch and the keys of each set."""
+    """``texts`` (content, digest) with print_0, size, sketch and the keys of each set.
+
+    One Python pass: a second one in the same stage would keep another worker for each core.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
 
     def keys_of(own: np.ndarray) -> np.ndarray:
@@ -129,16 +132,19 @@ def read_texts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return own[np.lexsort((mix(own), often))[: n - (4 * n + 4) // 5 + 1]]
 
     def compute(piece: pa.RecordBatch) -> dict:
+        prints = prints_of(piece.column("content"), prints=CLOSE.prints)
         sets = _sets_of(piece, shingle)
         return {
+            **{c: pa.array(p.view(np.int64)) for c, p in zip(CLOSE.columns, np.ascontiguousarray(prints.T))},
             "size": pa.array([len(s) for s in sets], pa.int64()),
             "keys": _listed([keys_of(s) for s in sets]),
             "bits": _listed([sketch(s) for s in sets]),
         }
 
-    results = {"size": "long", "keys": "array<long>", "bits": "array<long>"}
-    printed = add_fingerprints(texts, "content").drop("node")
-    return add_columns(printed, compute, results, "content", ("content",))
+    results = dict.fromkeys(CLOSE.columns, "long") | {
+        "size": "long", "keys": "array<long>", "bits": "array<long>"
+    }
+    return add_columns(texts, compute, results, "content", ("content",))
 
 
 class _Search:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statepath.llm import similar, simhash
-from statepath.llm.common import attach_few_groups
+from statepath.llm.common import attach_few_groups, attach_groups
 from statepath.storage import Scratch, materialize
 
 
@@ -128,3 +128,21 @@ def test_rows_without_a_group_pass_by_the_join(spark):
             found = attach_few_groups(rows, groups, "key", "n", F.col("id"), how, limit)
             assert found.columns == ["id", "key", "n", "value"]
             assert sorted(map(str, found.collect())) == expected
+
+
+def test_texts_are_read_by_one_python_pass(spark):
+    docs = [(0, "a b c d e f"), (1, ""), (2, None), (3, "A b  c")]
+    texts = spark.createDataFrame(docs, "id long, content string").withColumn("digest", F.md5(F.coalesce("content", F.lit(""))))
+    read = similar.read_texts(texts)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    prints = {r.id: r.print_0 for r in simhash.add_fingerprints(texts, "content").collect()}
+    assert {r.id: r.print_0 for r in read.collect()} == prints
+
+
+def test_hot_groups_start_no_python_workers(spark):
+    rows = spark.range(3_000).select("id", F.when(F.col("id") < 2_000, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    groups = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    joined = attach_groups(rows, groups, "key", "n", F.col("id"))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    assert joined.where("key = 'hot' and n = 2000").count() == 2_000 and joined.count() == 3_000
